@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import conversations, oracles
+from . import conversations, mixing, oracles, packing
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,5 +19,35 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "messages"), table(spark, d, "role_aliases"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations)}
+def p6_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, for each capacity."""
+    return packing.assignments(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Used and unused tokens of every container."""
+    return packing.containers(p6_assignments(spark, d))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, fill and unused tokens per capacity."""
+    return packing.fill_report(p6_assignments(spark, d))
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen documents and how often each is used."""
+    sizes = mixing.sized_sources(table(spark, d, "documents"))
+    return mixing.mix(sizes, mixing.budgets(sizes, table(spark, d, "mix_targets")))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share and the repeats used, per source."""
+    sizes = mixing.sized_sources(table(spark, d, "documents"))
+    plan = mixing.budgets(sizes, table(spark, d, "mix_targets"))
+    return mixing.report(mixing.mix(sizes, plan), plan)
+
+
+QUERIES = {
+    f.__name__: f for f in (p1_found, p1_conversations, p6_assignments, p6_containers, p6_fill, p7_selection, p7_shares)
+}
 ORACLES = oracles.SQL
