@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import conversations, mixing, oracles, packing
+from . import conversations, mixing, oracles, packing, pii
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,16 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "messages"), table(spark, d, "role_aliases"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in messages and quotes, one row per item."""
+    return pii.found(table(spark, d, "messages"), table(spark, d, "facts"), table(spark, d, "name_lexicon"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return pii.redacted(table(spark, d, "messages"), table(spark, d, "facts"), table(spark, d, "name_lexicon"))
+
+
 def p6_assignments(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, for each capacity."""
     return packing.assignments(table(spark, d, "documents"), table(spark, d, "pack_limits"))
@@ -48,6 +58,6 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_conversations, p6_assignments, p6_containers, p6_fill, p7_selection, p7_shares)
+    f.__name__: f for f in (p1_found, p1_conversations, p4_found, p4_redacted, p6_assignments, p6_containers, p6_fill, p7_selection, p7_shares)
 }
 ORACLES = oracles.SQL
