@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import conversations, mixing, oracles, packing, pii
+from . import conversations, mixing, oracles, packing, pii, subjects
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,25 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(mixing.mix(sizes, plan), plan)
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of each document."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per subject, language and source."""
+    return subjects.composition(_subjects(spark, d))
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_conversations, p4_found, p4_redacted, p6_assignments, p6_containers, p6_fill, p7_selection, p7_shares)
+    f.__name__: f
+    for f in (
+        p1_found, p1_conversations, p4_found, p4_redacted, p6_assignments, p6_containers, p6_fill,
+        p7_selection, p7_shares, p8_found, p8_composition,
+    )
 }
 ORACLES = oracles.SQL
