@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle_records, records
+from . import oracle_records, records, retrieval
 
-QUERIES = dict(records.QUERIES)
-ORACLES = dict(oracle_records.SQL)
+QUERIES = records.QUERIES | retrieval.QUERIES
+ORACLES = oracle_records.SQL | retrieval.SQL
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """The present memories with their text."""
-    return records.p2_current_memories(spark, d)
+    """Keyword search, dedupe and packing under a token budget, for a batch of queries."""
+    return retrieval.budget_pack(spark, d)
