@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -22,36 +22,41 @@ def _number(month: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(month)).cast("string")
 
 
-def absolute(text: Column) -> Column:
-    """struct(start date, precision) of the first date form in a text; start is null if it is no real date.
+# Forms of a date, in the order in which they are looked for, with their precision and the
+# groups of year, month and day.
+FORMS = (
+    (rf"(?<![0-9A-Za-z_]){_Y}-([0-9]{{2}})-([0-9]{{2}})(?=T|[^0-9A-Za-z_]|$)", "day", 1, 2, 3),
+    (rf"{_Y}年([0-9]{{1,2}})月([0-9]{{1,2}})日", "day", 1, 2, 3),
+    (rf"(?i)\b{_M}\s+([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+{_Y}\b", "day", 3, 1, 2),
+    (rf"(?i)\b([0-9]{{1,2}})(?:st|nd|rd|th)?\s+{_M},?\s+{_Y}\b", "day", 3, 2, 1),
+    (rf"(?i)\b{_M}\s+{_Y}\b", "month", 2, 1, None),
+    (rf"\b{_Y}-([0-9]{{2}})\b", "month", 1, 2, None),
+    (rf"{_Y}年([0-9]{{1,2}})月", "month", 1, 2, None),
+    (rf"(?<![0-9A-Za-z_]){_Y}(?=年|[^0-9A-Za-z_]|$)", "year", 1, None, None),
+)
 
-    Forms, in order: ISO and Chinese days, "March 5, 2024", "5 March 2024", "March 2024", ISO and
-    Chinese months, years. A text without any form gives a null precision.
+
+def with_absolute(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds ``name`` = struct(start, precision) of the first date form in a text column.
+
+    A form that names no real day has a precision but no start; a text without any form has neither. Each step is a
+    column of its own, so that the generated code stays small.
     """
-    g = lambda p, i: F.regexp_extract(text, p, i)
-    forms = []
-    p = rf"(?<![0-9A-Za-z_]){_Y}-([0-9]{{2}})-([0-9]{{2}})(?=T|[^0-9A-Za-z_]|$)"
-    forms.append((p, _date(g(p, 1), g(p, 2), g(p, 3)), "day"))
-    p = rf"{_Y}年([0-9]{{1,2}})月([0-9]{{1,2}})日"
-    forms.append((p, _date(g(p, 1), g(p, 2), g(p, 3)), "day"))
-    p = rf"(?i)\b{_M}\s+([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+{_Y}\b"
-    forms.append((p, _date(g(p, 3), _number(g(p, 1)), g(p, 2)), "day"))
-    p = rf"(?i)\b([0-9]{{1,2}})(?:st|nd|rd|th)?\s+{_M},?\s+{_Y}\b"
-    forms.append((p, _date(g(p, 3), _number(g(p, 2)), g(p, 1)), "day"))
-    p = rf"(?i)\b{_M}\s+{_Y}\b"
-    forms.append((p, _date(g(p, 2), _number(g(p, 1)), F.lit("1")), "month"))
-    p = rf"\b{_Y}-([0-9]{{2}})\b"
-    forms.append((p, _date(g(p, 1), g(p, 2), F.lit("1")), "month"))
-    p = rf"{_Y}年([0-9]{{1,2}})月"
-    forms.append((p, _date(g(p, 1), g(p, 2), F.lit("1")), "month"))
-    p = rf"\b{_Y}\b|{_Y}年"
-    forms.append((p, _date(F.concat(g(p, 1), g(p, 2)), F.lit("1"), F.lit("1")), "year"))
-    start = kind = None
-    for pattern, date, precision in forms:
-        hit = text.rlike(pattern)
-        start = F.when(hit, date) if start is None else start.when(hit, date)
-        kind = F.when(hit, precision) if kind is None else kind.when(hit, precision)
-    return F.struct(start.alias("start"), kind.alias("precision"))
+    form, parts = f"_{name}_form", f"_{name}_parts"
+    code = None
+    for n, (p, *_) in enumerate(FORMS):
+        hit = F.col(text).rlike(p)
+        code = F.when(hit, n) if code is None else code.when(hit, n)
+    take = None
+    for n, (p, _, *groups) in enumerate(FORMS):
+        found = F.array(*[F.lit("1") if g is None else F.regexp_extract(text, p, g) for g in groups])
+        take = F.when(F.col(form) == n, found) if take is None else take.when(F.col(form) == n, found)
+    precision = F.element_at(F.array(*[F.lit(f[1]) for f in FORMS]), F.col(form) + 1)
+    y, m, d = (F.col(parts)[k] for k in range(3))
+    month = F.coalesce(F.nullif(_number(m), F.lit("0")), m)
+    out = df.withColumn(form, code).withColumn(parts, take)
+    out = out.withColumn(name, F.struct(_date(y, month, d).alias("start"), F.when(F.col(form).isNotNull(), precision).alias("precision")))
+    return out.drop(form, parts)
 
 
 def interval_end(start: Column, precision: Column) -> Column:
@@ -64,16 +69,16 @@ def interval_end(start: Column, precision: Column) -> Column:
     )
 
 
-def resolve(expression: Column, anchor: Column) -> Column:
-    """struct(start, end_exclusive, precision, resolution) of a time expression.
+def with_resolution(df: DataFrame, expression: str, anchor: str, into: str) -> DataFrame:
+    """Adds ``into`` = struct(start, end_exclusive, precision, resolution) of a time expression column.
 
     ``anchor`` is the text that dates the source ("1 March 2024"); relative expressions resolve
     against it if it names a day. A range of years, an unknown expression or a missing anchor is
     ``unresolved``, an anchor that only orders messages gives ``ordering``.
     """
-    text = F.lower(F.trim(expression))
-    exact, base = absolute(expression), absolute(F.coalesce(anchor, F.lit("")))
-    day = F.when(base["precision"] == "day", base["start"])
+    df = with_absolute(with_absolute(df.withColumn("_x", F.lower(F.trim(expression))), expression, "_exact"), anchor, "_base")
+    df = df.withColumn("_day", F.when(F.col("_base.precision") == "day", F.col("_base.start")))
+    text, day, exact = F.col("_x"), F.col("_day"), F.col("_exact")
     part = "(?: (?:morning|afternoon|evening|night))?"
     num = lambda p: F.regexp_extract(text, p, 1).try_cast("int")
     shift = (
@@ -98,11 +103,17 @@ def resolve(expression: Column, anchor: Column) -> Column:
         .when(unit == "week", F.date_add(F.trunc(day, "week"), 7 * step))
     )
     years = text.rlike(r"\b(?:between|through|until|or|to)\b|至|到") & text.rlike(r"\b(?:19|20)[0-9]{2}\b")
-    order = F.coalesce(anchor, F.lit("")).rlike("(?i)synthetic ordering")
-    start = F.when(years, None).when(exact["start"].isNotNull(), exact["start"]).when(order, None).otherwise(F.coalesce(F.date_add(day, shift), moved))
-    kind = F.when(exact["start"].isNotNull(), exact["precision"]).when(shift.isNotNull(), "day").otherwise(unit)
-    done = start.isNotNull()
-    return F.struct(
-        start.alias("start"), F.when(done, interval_end(start, kind)).alias("end_exclusive"), F.when(done, kind).otherwise("unknown").alias("precision"),
-        F.when(done, "resolved").when(order & ~years & (text != ""), "ordering").otherwise("unresolved").alias("resolution"),
+    order = F.coalesce(F.col(anchor), F.lit("")).rlike("(?i)synthetic ordering")
+    df = df.withColumn("_shift", shift).withColumn("_moved", moved).withColumn("_unit", unit).withColumn("_years", years).withColumn("_order", order)
+    relative = F.coalesce(F.date_add("_day", F.col("_shift")), F.col("_moved"))
+    start = F.when(F.col("_years"), None).when(exact["precision"].isNotNull() & exact["start"].isNotNull(), exact["start"]).when(F.col("_order"), None).otherwise(relative)
+    kind = F.when(exact["start"].isNotNull(), exact["precision"]).when(F.col("_shift").isNotNull(), "day").otherwise(F.col("_unit"))
+    df = df.withColumn("_start", start).withColumn("_kind", kind)
+    done = F.col("_start").isNotNull()
+    waits = F.col("_order") & ~F.col("_years") & (F.col("_x") != "")
+    out = F.struct(
+        F.col("_start").alias("start"), F.when(done, interval_end(F.col("_start"), F.col("_kind"))).alias("end_exclusive"),
+        F.when(done, F.col("_kind")).otherwise("unknown").alias("precision"),
+        F.when(done, "resolved").when(waits, "ordering").otherwise("unresolved").alias("resolution"),
     )
+    return df.withColumn(into, out).drop("_x", "_exact", "_base", "_day", "_shift", "_moved", "_unit", "_years", "_order", "_start", "_kind")

@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.tables import scratch
+from ..sources.tables import scratch, table
 
 
 def source(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table folder as a stream of its files."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    path = f"{d}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A table, stored as a folder of files or as one file, as a stream of its files."""
+    schema = table(spark, d, name).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{d}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def timed(df: DataFrame, at: str = "ts", late: str = "1 day") -> DataFrame:
