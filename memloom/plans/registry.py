@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle_records, records, retrieval, state
+from . import oracle_records, payload, records, retrieval, state
 
-QUERIES = records.QUERIES | retrieval.QUERIES | state.QUERIES
-ORACLES = oracle_records.SQL | retrieval.SQL | state.SQL
+QUERIES = records.QUERIES | payload.QUERIES | retrieval.QUERIES | state.QUERIES
+ORACLES = oracle_records.SQL | payload.SQL | retrieval.SQL | state.SQL
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
