@@ -29,7 +29,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     """Counting versions of facts (the one that came last; the highest revision of those)."""
-    w = Window.partitionBy("id").orderBy(F.desc("ingested_at"), F.desc("revision"))
+    w = Window.partitionBy("id").orderBy(F.desc("ingested_at"), F.desc("revision"), F.desc_nulls_last("observed_at"))
     return table(spark, d, "facts").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
@@ -224,7 +224,7 @@ QUERIES = {
 
 _LINE = "WITH line AS (SELECT *, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nxt FROM events)"
 _TURNS = "turns AS (SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, created_at DESC NULLS LAST) = 1)"
-_FACTS = "f AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, revision DESC) = 1)"
+_FACTS = "f AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, revision DESC, observed_at DESC NULLS LAST) = 1)"
 
 
 def _canon(c: str) -> str:

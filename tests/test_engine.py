@@ -238,3 +238,43 @@ def test_streams_equal_batches(spark, tmp_path):
         else:
             want[seq] = "late" if ts < held[k][0] else "same" if held[k][1] == v else "conflict"
     assert {r.seq: r.outcome for r in slots.collect()} == want
+
+
+def test_intents_and_names(spark):
+    from memloom.functions.intent import intent, named
+
+    cases = {
+        "Walk me through how my job changed": "trajectory", "What did I ask you to forget?": "operation", "List my hobbies": "list",
+        "Where did I use to live? I used to like Oslo": "historical", "What is my city?": "current",
+    }
+    for q, mode in cases.items():
+        assert one(spark, intent(F.col("q")), q=q).mode == mode, q
+    i = one(spark, intent(F.col("q")), q="My city as of 2026-01-01, and when?")
+    assert i.as_of == "2026-01-01" and i.temporal
+    assert one(spark, intent(F.lit(None).cast("string")), q="").mode == "current"
+    assert one(spark, named(F.col("t")), t="My friend Alice Van lives near Oslo, code ZX-482. I know Alice Van") == ["My", "Alice Van", "Oslo", "ZX-482"][1:]
+
+
+def test_lifecycle_and_rendering(spark):
+    from memloom.operators import lifecycle
+
+    rows = [
+        ("a", 1, "Seattle"), ("b", 1, "Boston"), ("c", 3, "Portland"), ("d", 2, "Rome"), ("e", 3, " portland"), ("n", None, "x"), ("m", 4, None),
+    ]
+    df = spark.createDataFrame([("u", *r) for r in rows], "k string, id string, at int, value string")
+    out = {r.id: (r.verdict, r.ended) for r in lifecycle.settle(df, ["k"], "at", "value").collect()}
+    assert out == {"a": ("superseded", 2), "b": ("superseded", 2), "d": ("superseded", 3), "c": ("active", None), "e": ("active", None)}
+    out = {r.id: r.verdict for r in lifecycle.settle(df.where("at = 1"), ["k"], "at", "value").collect()}
+    assert out == {"a": "conflicted", "b": "conflicted"}
+    f = spark.createDataFrame(
+        [("u", "o", "I live in Oslo", "user", "city", "Oslo", "superseded", "confirmed", "2026-01-01T00:00:00Z", "2026-08-01", "source", ["m1"]),
+         ("u", "b", "I live in Bergen", "user", "city", "Bergen", "active", "confirmed", None, None, "ordering", ["m2"]),
+         ("v", "p", "Paris", "user", "city", "Paris", "conflicted", "confirmed", "2026-01-02", None, "source", ["m1", "m2", "m1"])],
+        "k string, id string, content string, subject string, predicate string, value string, state string, modality string, observed_at string, valid_to string, time_basis string, source_ids array<string>",
+    )
+    shown = {r.id: r.shown for r in lifecycle.render(lifecycle.with_successor(f, ["k"])).collect()}
+    assert shown["o"] == '[2026-01-01 | user] Former city: "Oslo" (superseded on 2026-08-01; current city: "Bergen"). Original statement: I live in Oslo'
+    assert shown["b"] == "[time: session order only] I live in Bergen"
+    assert "corroborated by 2 independent" in shown["p"]
+    lvl = lambda a, b, c: one(spark, lifecycle.match_level(F.lit(a), F.lit(b), F.lit(c)), t="")
+    assert lvl("60148", "60148", "") == 1 and lvl("60143", "60148", "zip 60148") == 0 and lvl("ab", "", "xaby") == 0
