@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import key
 from ..sources.tables import materialize
 
+#: How often the remainder of a budget is cut.
+CUTS = 4
+
 
 def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """Per source: available docs and tokens, target share, max_repeats and the token budget.
@@ -43,41 +46,54 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return both.select("source", "docs", "available", "target_share", "max_repeats", budget.alias("budget"))
 
 
+def prefix_sums(rows: DataFrame) -> DataFrame:
+    """Adds ``end``: tokens of the source's documents up to and including this one in hash order.
+
+    ``rows`` has source, slice, h, doc_id and tokens. Slices are summed by an aggregate, the sums of a source
+    (about sqrt(n) rows) by one window and the documents of a slice (about sqrt(n) again) by another.
+    """
+    sums = rows.groupBy("source", "slice").agg(F.sum("tokens").alias("t"))
+    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("source", "slice", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("tokens").over(inside)).join(starts, ["source", "slice"])
+    return rows.withColumn("end", F.col("start") + F.col("upto")).drop("start", "upto")
+
+
 def mix(sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """Chosen documents: doc_id, source, tokens, copies (how often each is used).
 
     ``sizes``: doc_id, source (normalized), tokens. Each source is used in whole epochs as often as
-    its budget holds it; the remainder is cut after the last document that fits, and one further document
-    closes the gap as well as one can.
+    its budget holds it; the remainder is cut after the last document that fits. What the cut leaves is cut
+    again among the documents that are small enough (``CUTS`` times in all), and one further document closes the
+    gap as well as one can, if taking it is nearer than leaving it.
     """
     per = plan.where("budget > 0").select(
         "source", F.ceil(F.sqrt("docs")).cast("long").alias("slices"),
-        F.floor(F.col("budget") / F.col("available") + 1e-12).cast("long").alias("epochs"), "budget", "available", "max_repeats",
+        F.floor(F.try_divide("budget", "available") + 1e-12).cast("long").alias("epochs"), "budget", "available", "max_repeats",
     )
-    per = per.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
     # one row per source name with a target, and those are bounded by the table of targets
-    rows = sizes.join(F.broadcast(per), "source")
+    per = per.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(0.0))
     h = F.xxhash64(F.lit(seed), "doc_id")
     # top 31 bits, sign bit flipped so that slices follow the signed order of the hash
     top = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(2**63))), 33)
-    rows = rows.withColumn("h", h).withColumn("slice", F.shiftright(top * F.col("slices"), 31))
-    sums = rows.groupBy("source", "slice").agg(F.sum("tokens").alias("t"))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "slice", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("tokens").over(inside)).join(starts, ["source", "slice"])
-    rows = rows.withColumn("end", F.col("start") + F.col("upto"))
-    rows = materialize(rows.select("doc_id", "source", "tokens", "end", "epochs", "rest", "max_repeats"))
-    # what the whole documents before the cut leave of the budget goes to the one further document
-    # that comes nearest to it, if taking it is nearer than leaving it
-    cut = F.col("end") <= F.col("rest")
-    gaps = rows.groupBy("source").agg((F.first("rest") - F.coalesce(F.max(F.when(cut, F.col("end"))), F.lit(0))).alias("gap"))
-    off = F.abs(F.col("tokens") - F.col("gap"))
-    spare = rows.where(~cut & (F.col("epochs") < F.col("max_repeats"))).join(F.broadcast(gaps), "source").where(off < F.col("gap"))
-    last = spare.groupBy("source").agg(F.min(F.struct(off.alias("off"), "doc_id")).alias("x")).select("source", F.col("x.doc_id").alias("last"))
-    rows = rows.join(F.broadcast(last), "source", "left")
-    extra = (cut | F.coalesce(F.col("doc_id") == F.col("last"), F.lit(False))) & (F.col("epochs") < F.col("max_repeats"))
-    return rows.select("doc_id", "source", "tokens", (F.col("epochs") + extra.cast("long")).alias("copies")).where("copies > 0")
+    rows = sizes.join(F.broadcast(per.drop("budget", "available", "max_repeats")), "source")
+    rows = rows.select("doc_id", "source", "tokens", "epochs", h.alias("h"), F.shiftright(top * F.col("slices"), 31).alias("slice"), F.col("rest").alias("gap"))
+    taken = left = None
+    for _ in range(CUTS):
+        rows = materialize(prefix_sums(rows))
+        fits = F.col("end") <= F.col("gap")
+        part = rows.where(fits).select("doc_id", F.lit(1).alias("extra"))
+        taken = part if taken is None else taken.unionByName(part)
+        used = rows.groupBy("source").agg((F.first("gap") - F.coalesce(F.max(F.when(fits, F.col("end"))), F.lit(0))).alias("left"))
+        left = rows.where(~fits).drop("end").join(F.broadcast(used), "source")
+        rows = left.where(F.col("tokens") <= F.col("left")).withColumn("gap", F.col("left")).drop("left")
+    off = F.abs(F.col("tokens") - F.col("left"))
+    last = left.where(off < F.col("left")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "doc_id")).alias("x"))
+    taken = taken.unionByName(last.select("x.doc_id", F.lit(1).alias("extra")))
+    every = sizes.join(F.broadcast(per.select("source", "epochs")), "source").join(taken, "doc_id", "left")
+    copies = F.col("epochs") + F.coalesce("extra", F.lit(0))
+    return every.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
 
 
 def sized_sources(documents: DataFrame, **kw) -> DataFrame:
