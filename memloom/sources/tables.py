@@ -7,16 +7,34 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_memloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="memloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/memloom_package.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    sc.addPyFile(f"{folder}/memloom_package.zip")
+    sc._memloom_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table of a data folder.
 
     Instants are compared in UTC throughout, so the session zone is pinned here; zoneless Parquet
     timestamps then mean the same moment as the ISO texts that carry an offset.
     """
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{root}/{name}.parquet")
