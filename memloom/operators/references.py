@@ -27,6 +27,8 @@ from ..sources.tables import materialize
 #: Keys per slice of a period that the numbering window aims at.
 SLICE = 50_000
 DAY = 86_400_000_000
+#: A group of references is hot above this part (one in HOT) of all; it is split SALTS ways.
+HOT, SALTS = 1000, 32
 
 
 def latest(df: DataFrame, id_col: str, *cols: Column) -> DataFrame:
@@ -114,7 +116,8 @@ def orphans(references: Iterable[DataFrame], targets: Iterable[DataFrame]) -> Da
     reason is ``absent``, ``removed`` or ``late``. Null and blank elements are no references; a
     repeated element is one reference; empty tables give an empty result. References are reduced to
     distinct (field, key, period) with counts combined map-side before anything is joined, so a key that a third
-    of all rows name is one row per period here; only the surviving groups are joined back to records.
+    of all rows name is one row per period here; only the surviving groups are joined back to records, hot ones
+    split by salt.
     """
     refs = None
     for r in references:
@@ -149,8 +152,19 @@ def orphans(references: Iterable[DataFrame], targets: Iterable[DataFrame]) -> Da
         .when(F.col("gone") | F.coalesce(F.col("purged") <= F.col("at"), F.lit(False)), "removed")
         .when(F.col("seen") > F.col("at"), "late")
     )
+    # a group (field, key, period) with over a thousandth of all references is split: there are at most a
+    # thousand of those, so their list can be broadcast
+    group = ["ref_field", "period", "key"]
+    total = F.broadcast(wanted.agg(F.sum("n").alias("all")))  # a single row
+    hot = wanted.crossJoin(total).where(F.col("n") * HOT > F.col("all")).select(*group, F.lit(SALTS).alias("salts"))
+    salted = refs.join(F.broadcast(hot), group, "left").withColumn(
+        "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    )
+    spread = open_keys.join(F.broadcast(hot), group, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))
+    )
     return (
-        refs.join(open_keys, ["ref_field", "period", "key"])
+        salted.drop("salts").join(spread.drop("salts"), [*group, "salt"])
         .withColumn("reason", reason)
         .where("reason is not null")
         .select("ref_field", "record_id", F.col("key").alias("ref_key"), "at", "reason")
