@@ -61,3 +61,33 @@ def bounded(hits: DataFrame, most: int) -> DataFrame:
     """The nearest ``most`` hits of each query (a top-k report, ties by doc)."""
     w = Window.partitionBy("query").orderBy("depth", "doc")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def typed_paths(seeds: DataFrame, edges: DataFrame, hops: int = 2, per_node: int = 8, most: int = 40) -> DataFrame:
+    """(query, id, depth, begins, ends, rank): edges on paths from the seeds whose validity windows overlap.
+
+    ``seeds``: (query, node). ``edges``: (id, src, dst, begins, ends) with half-open windows, null meaning open. A path
+    holds in the intersection of its windows and is not followed where that is empty; it never returns to a
+    node it started from. The bounds (edges per node, hits per query; smallest depth and id first) are part of
+    the search. Each hop is one join on the node and one rank-limited window.
+    """
+    front = seeds.where("node is not null").select("query", "node").distinct()
+    known = front
+    front = front.select("query", "node", *[F.lit(None).cast(dict(edges.dtypes)[c]).alias(c) for c in ("begins", "ends")])
+    w = Window.partitionBy("query", "node").orderBy("id", "begins", "ends")
+    hits = None
+    for depth in range(hops):
+        e = edges.select("id", F.col("src").alias("node"), "dst", F.col("begins").alias("b2"), F.col("ends").alias("e2"))
+        step = front.join(e, "node").select(
+            "query", "node", "id", "dst", F.greatest("begins", "b2").alias("begins"), F.least("ends", "e2").alias("ends")
+        )
+        step = step.where("begins is null or ends is null or begins < ends")
+        step = step.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_node)
+        layer = step.select("query", "id", "begins", "ends", F.lit(depth).alias("depth"))
+        hits = layer if hits is None else hits.unionByName(layer)
+        reached = step.where("dst is not null").select("query", F.col("dst").alias("node"), "begins", "ends")
+        front = reached.join(known, ["query", "node"], "left_anti").distinct()
+        known = known.unionByName(front.select("query", "node")).distinct()
+    first = hits.groupBy("query", "id").agg(F.min(F.struct("depth", "begins", "ends")).alias("x")).select("query", "id", "x.*")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("depth", "id"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -278,3 +278,16 @@ def test_lifecycle_and_rendering(spark):
     assert "corroborated by 2 independent" in shown["p"]
     lvl = lambda a, b, c: one(spark, lifecycle.match_level(F.lit(a), F.lit(b), F.lit(c)), t="")
     assert lvl("60148", "60148", "") == 1 and lvl("60143", "60148", "zip 60148") == 0 and lvl("ab", "", "xaby") == 0
+
+
+def test_typed_paths(spark):
+    e = [("ab", "Alice", "Bob", 1, 9), ("bc", "Bob", "Cedar", 3, None), ("old", "Bob", "Dune", 0, 1), ("co", "Cedar", "Oslo", None, None), ("back", "Bob", "Alice", None, None), ("nn", None, "Bob", None, None)]
+    edges = spark.createDataFrame(e, "id string, src string, dst string, begins int, ends int")
+    seeds = spark.createDataFrame([("q", "Alice"), ("r", "Nobody"), ("s", None)], "query string, node string")
+    out = {(r.id, r.depth, r.begins, r.ends) for r in graph.typed_paths(seeds, edges, 3).collect()}
+    # "old" ended before the friendship began
+    assert out == {("ab", 0, 1, 9), ("bc", 1, 3, 9), ("back", 1, 1, 9), ("co", 2, 3, 9)}
+    assert graph.typed_paths(seeds, edges, 2, per_node=1).count() == 2
+    assert graph.typed_paths(seeds, edges, 3, most=2).count() == 2
+    fan = spark.createDataFrame([(f"e{i:03}", "Alice", f"n{i}", None, None) for i in range(100)], edges.schema)
+    assert graph.typed_paths(seeds, fan, 2).count() == 8
