@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: Vocabulary file of the tokenizer; every executor must see it under this path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of that vocabulary.
@@ -39,4 +41,4 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source and tokens of every document; the text goes no further than the tokenizer."""
-    return documents.select("doc_id", "source", token_count(F.col("text"), vocabulary).cast("long").alias("tokens"))
+    return spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text"), vocabulary).cast("long").alias("tokens"))
