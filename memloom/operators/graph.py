@@ -46,7 +46,9 @@ def expand_hops(seeds: DataFrame, links: DataFrame, hops: int = 2, base: float =
     front = seeds.where("entity is not null").select("query", "entity").distinct()
     known, hits = front, None
     for depth in range(hops):
-        found = front.join(links, "entity").select("query", "doc").distinct()
+        found = front.join(links, "entity").select("query", "doc")
+        if depth + 1 < hops:  # the last layer is reduced by the final aggregate
+            found = found.distinct()
         layer = found.withColumn("depth", F.lit(depth))
         hits = layer if hits is None else hits.unionByName(layer)
         if depth + 1 < hops:
