@@ -10,6 +10,8 @@ from ..sources.tables import materialize, spread
 
 #: Distinct terms of a query that count, in order of their first place.
 QUERY_TERMS = 64
+#: Leading characters by which names meet texts.
+GRAM = 4
 
 
 def postings(docs: DataFrame, id_col: str, text: Column, keep: bool = True) -> DataFrame:
@@ -37,6 +39,21 @@ def query_terms(queries: DataFrame, id_col: str, text: Column, most: int = QUERY
     return rows.groupBy("query", "term").agg(F.count("*").alias("qtf"))
 
 
+def containing(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc, name) of every text that contains a name anywhere, also inside a word; both sides come in one case.
+
+    ``docs``: (doc, text). ``names``: (name). Texts that have the first ``GRAM`` characters of a name (of a short one
+    all) are candidates, which are checked in full. Only the different beginnings, few as letters are, are broadcast.
+    """
+    heads = names.where("name <> ''").select("name").distinct().withColumn("gram", F.substring("name", 1, GRAM))
+    docs = docs.where("doc is not null and text is not null")
+    runs = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]
+    rows = docs.select("doc", F.explode(F.array_distinct(F.concat(*runs))).alias("gram"))
+    rows = rows.join(F.broadcast(heads.select("gram").distinct()), "gram", "left_semi")
+    pairs = rows.join(heads.hint("shuffle_hash"), "gram").select("doc", "name")
+    return pairs.join(docs, "doc").where(F.contains("text", "name")).select("doc", "name").distinct()
+
+
 def bm25(post: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float | None = None, repeats: bool = True) -> DataFrame:
     """Scores (query, doc, score) of all documents that share a term with a query.
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions.intent import named
 from ..operators import erasure, fusion, graph, lexical, packing, vectors
-from ..sources.tables import table
+from ..sources.tables import materialize, table
 from .sqltext import BM25_SQL, KNN_SQL, TOKENS_SQL
 
 #: A row asks a query if its id is divisible by this.
 ASK = 100
+# Most hits of the semantic and of the lexical route.
+SEMANTIC, LEXICAL = 150, 180
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +82,7 @@ def knn_metric_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Vector neighbours fused with the label route (same label, nearest ids first)."""
+    """Vector neighbours fused with the label route (same label, nearest ids first), 20 each as its statement has it."""
     q, rows = _vectors(spark, d)
     near = vectors.knn(q, rows.select("doc", "vector"), 20)
     ask = rows.where(F.col("doc") % ASK == 0).select(F.col("doc").alias("query"), "label")
@@ -89,7 +92,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def additive_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Vector neighbours plus a keyword score (share of matching label) and a boost, over the most possible."""
+    """Arithmetic of the fusion alone, as its statement has it: neighbours with stand-in scores by id."""
     q, rows = _vectors(spark, d)
     near = vectors.knn(q, rows.select("doc", "vector"), 20)
     key = near.where(F.col("doc") % 2 == 0).select("query", "doc", (1 / (1 + F.col("rank"))).alias("score"))
@@ -97,6 +100,48 @@ def additive_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fusion.additive(near, key, ent).select("query", "doc", F.round("score", 6).alias("score"))
 
 
+def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Semantic, lexical and entity hits of every asking document among the documents.
+
+    A document's vector is the one under its id, if there is one. (query, doc, score, rank) for the first two
+    routes, (query, doc, matches, boost) for the third.
+    """
+    docs = _docs(spark, d).where("doc_id is not null")
+    asks = docs.where(F.col("doc_id") % ASK == 0)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
+    rows = rows.join(docs.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
+    asking = rows.where(F.col("doc") % ASK == 0).select(F.col("doc").alias("query"), F.col("vector").alias("vector"))
+    near = vectors.knn(asking, rows, SEMANTIC, least=0.15)
+    terms = lexical.query_terms(asks, "doc_id", F.col("text"))
+    words = lexical.top_k(lexical.bm25(_postings(spark, d), terms, k1=1.2, floor=1e-6, repeats=False), LEXICAL)
+    size = F.size(F.split(F.trim("text"), r"\s+")).alias("words")
+    words = words.join(asks.select(F.col("doc_id").alias("query"), size), "query")
+    names = asks.select(F.col("doc_id").alias("query"), F.explode(named(F.col("text"))).alias("name"))
+    names = names.select("query", F.lower("name").alias("name")).distinct()
+    hits = materialize(lexical.containing(docs.select(F.col("doc_id").alias("doc"), F.lower("text").alias("text")), names))
+    linked = hits.groupBy("name").agg(F.count("*").alias("linked"))
+    found = hits.join(names, "name").join(linked, "name").groupBy("query", "doc").agg(
+        F.count("*").alias("matches"), F.max(fusion.entity_boost(F.lit(1.0), F.col("linked"))).alias("boost")
+    )
+    return near, words, found
+
+
+def rrf_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Vector, keyword and entity search of every asking document, fused by reciprocal rank."""
+    near, words, found = _routes(spark, d)
+    order = Window.partitionBy("query").orderBy(F.desc("matches"), "doc")
+    fused = fusion.rrf({"semantic": near, "lexical": words, "entity": found.withColumn("rank", F.row_number().over(order))})
+    return fused.select("query", "doc", F.round("score", 8).alias("score"), F.array_join("signals", "+").alias("signals"))
+
+
+def additive_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Vector hits plus their keyword score on a scale of 0 to 1 and their entity boost, over the most possible."""
+    near, words, found = _routes(spark, d)
+    key = words.select("query", "doc", lx.sigmoid_score(F.col("score"), F.col("words")).alias("score"))
+    out = fusion.additive(near, key, found.select("query", "doc", F.col("boost").alias("score")))
+    return out.select("query", "doc", F.round("score", 6).alias("score"))
+
+
 def token_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share more than a third of an asking document's tokens (similarity join by token)."""
     post = _postings(spark, d).select("doc", "term")
@@ -179,7 +224,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokens_postings, bm25_topk, bm25_fts_topk, bm25_sigmoid, knn_cosine_topk, knn_filtered, knn_metric_scores, rrf_fusion,
-        additive_fusion, token_overlap_join, estimate_tokens, evidence_key_dedupe, entity_contains_join, forget_marker_antijoin,
+        additive_fusion, rrf_routes, additive_routes, token_overlap_join, estimate_tokens, evidence_key_dedupe, entity_contains_join, forget_marker_antijoin,
         redact_spans, two_hop_expansion, two_hop_expansion_all, budget_pack, coverage_pack,
     )
 }

@@ -1,7 +1,10 @@
 """Queries do the whole job: brute force on small tables."""
 
+import math
 from collections import defaultdict
 
+import pytest
+
 from memloom.plans import retrieval
 
 
@@ -20,3 +23,21 @@ def test_two_hops_of_every_asking_order(spark, tmp_path):
         want |= {(q, dep): len(x) for dep, x in enumerate((near, far)) if x}
     out = retrieval.QUERIES["two_hop_expansion_all"](spark, str(tmp_path))
     assert {(r.query, r.depth): r.docs for r in out.collect()} == want and {q for q, _ in want} == {0, 100, 300}
+
+
+def test_fusion_of_real_routes(spark, tmp_path):
+    # 7 has no factor of 2 or 3; 9 has no vector; every text is at most three words
+    texts = {100: "Alice apple", 7: "apple cedar", 8: "malice plum", 9: "apple Alice", 11: "plum fig"}
+    vecs = {100: [1.0, 0.0], 7: [1.0, 1.0], 8: [0.5, 1.0], 11: [-1.0, 0.0], 555: [1.0, 0.0]}
+    spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in texts.items()], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, v, 0) for i, v in vecs.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    toks = {i: t.lower().split() for i, t in texts.items()}
+    idf = lambda w: max(math.log((5 - (n := sum(w in t for t in toks.values())) + 0.5) / (n + 0.5)), 1e-6)
+    bm = {i: sum(idf(w) * 2.2 / (1 + 1.2) for w in toks[100] if w in t) for i, t in toks.items()}
+    key = {i: 1 / (1 + math.exp(-0.7 * (s - 5))) for i, s in bm.items() if s > 0}
+    boost = 0.5 / (1 + 0.001 * 2**2)  # "alice" is in 100, 8 (inside a word) and 9
+    sem = {100: 1.0, 7: 1 / math.sqrt(2), 8: 0.5 / math.sqrt(1.25)}
+    got = {r.doc: r.score for r in retrieval.QUERIES["additive_routes"](spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(min(1, (s + key.get(i, 0) + boost * (i in (100, 8, 9))) / 2.5), abs=1e-5) for i, s in sem.items()}
+    got = {r.doc: r.signals for r in retrieval.QUERIES["rrf_routes"](spark, str(tmp_path)).collect()}
+    assert got == {100: "entity+lexical+semantic", 7: "lexical+semantic", 8: "entity+semantic", 9: "entity+lexical"}
