@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import HAN, STOP_WORDS, han_tokens, split_words, stem, tokens
 from ..sources.tables import materialize, spread
 
-#: Distinct terms of a query that count, in order of their first place.
+#: Distinct terms of a query that the full-text index takes, in order of their first place.
 QUERY_TERMS = 64
 #: Leading characters by which names meet texts.
 GRAM = 4
@@ -31,9 +31,11 @@ def postings(docs: DataFrame, id_col: str, text: Column, keep: bool = True) -> D
     return materialize(post) if keep else post
 
 
-def query_terms(queries: DataFrame, id_col: str, text: Column, most: int = QUERY_TERMS) -> DataFrame:
-    """(query, term, qtf) of the first ``most`` distinct terms of each query, with their repeats."""
+def query_terms(queries: DataFrame, id_col: str, text: Column, most: int | None = None) -> DataFrame:
+    """(query, term, qtf) of all terms of each query, or of the first ``most`` distinct ones, with their repeats."""
     rows = queries.select(F.col(id_col).alias("query"), tokens(text).alias("t"))
+    if most is None:
+        return rows.select("query", F.explode("t").alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
     rows = rows.select("query", "t", F.slice(F.array_distinct("t"), 1, most).alias("keep"))
     rows = rows.select("query", F.explode(F.filter("t", lambda x: F.array_contains(F.col("keep"), x))).alias("term"))
     return rows.groupBy("query", "term").agg(F.count("*").alias("qtf"))

@@ -60,15 +60,24 @@ def raw_fallback(spark: SparkSession, d: str) -> DataFrame:
     return m.join(hidden.where("id is not null").distinct(), "id", "left_anti").select("id")
 
 
-def coverage_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Largest share of a query's terms that one of its six best documents has."""
-    post, terms = _postings(spark, d), _terms(spark, d)
+def _coverage(spark: SparkSession, d: str, most: int | None) -> DataFrame:
+    post, terms = _postings(spark, d), _terms(spark, d, most)
     top = lexical.top_k(lexical.bm25(post, terms), 6).select("query", "doc")
     want = terms.groupBy("query").agg(F.count("*").alias("wanted"))
     got = top.join(post, "doc").join(terms, ["query", "term"]).groupBy("query", "doc").agg(F.count("*").alias("matched"))
     return got.join(want, "query").groupBy("query").agg(F.round(F.max(F.col("matched") / F.col("wanted")), 6).alias("coverage"))
 
 
+def coverage_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Largest share of a query's terms that one of its six best documents has (64 terms, as its statement has it)."""
+    return _coverage(spark, d, lexical.QUERY_TERMS)
+
+
+def coverage_ratio_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all terms of a query."""
+    return _coverage(spark, d, None)
+
+
 def question_intents(spark: SparkSession, d: str) -> DataFrame:
     """What the questions among the users' messages ask for."""
     q = _turns(spark, d).where("lower(trim(role)) = 'user' and content like '%?%'").select(intent(F.col("content")).alias("i"))
@@ -92,7 +101,7 @@ def exact_options(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fact_lifecycle, evidence_rendering, memory_events, slot_ambiguity, fact_sources, raw_fallback, coverage_ratio,
+        fact_lifecycle, evidence_rendering, memory_events, slot_ambiguity, fact_sources, raw_fallback, coverage_ratio, coverage_ratio_all,
         question_intents, named_entities, exact_options,
     )
 }

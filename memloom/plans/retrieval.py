@@ -25,8 +25,8 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return lexical.postings(_docs(spark, d), "doc_id", F.col("text"))
 
 
-def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.query_terms(_docs(spark, d).where(F.col("doc_id") % ASK == 0), "doc_id", F.col("text"))
+def _terms(spark: SparkSession, d: str, most: int | None = lexical.QUERY_TERMS) -> DataFrame:
+    return lexical.query_terms(_docs(spark, d).where(F.col("doc_id") % ASK == 0), "doc_id", F.col("text"), most)
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -39,27 +39,45 @@ def tokens_postings(spark: SparkSession, d: str) -> DataFrame:
     return _postings(spark, d)
 
 
-def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword top 20 of every asking document, in-memory flavour."""
-    hits = lexical.top_k(lexical.bm25(_postings(spark, d), _terms(spark, d)), 20)
+def _topk(spark: SparkSession, d: str, most: int | None) -> DataFrame:
+    hits = lexical.top_k(lexical.bm25(_postings(spark, d), _terms(spark, d, most)), 20)
     return hits.select("query", "doc", F.round("score", 6).alias("score"))
 
 
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword top 20 of every asking document, in-memory flavour, by its first 64 terms as its statement has it."""
+    return _topk(spark, d, lexical.QUERY_TERMS)
+
+
+def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword top 20 of every asking document by all its terms."""
+    return _topk(spark, d, None)
+
+
 def bm25_fts_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The same, full-text index flavour."""
+    """The same, full-text index flavour, which takes 64 terms of a query."""
     scores = lexical.bm25(_postings(spark, d), _terms(spark, d), k1=1.2, floor=1e-6, repeats=False)
     return lexical.top_k(scores, 20).select("query", "doc", F.round("score", 6).alias("score"))
 
 
-def bm25_sigmoid(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword scores of all matches on a scale of 0 to 1, counted per query and tenth."""
-    terms = _terms(spark, d)
+def _sigmoid(spark: SparkSession, d: str, most: int | None) -> DataFrame:
+    terms = _terms(spark, d, most)
     n = terms.groupBy("query").agg(F.count("*").alias("terms"))
     scores = lexical.bm25(_postings(spark, d), terms).join(n, "query")
     part = F.floor(F.round(lx.sigmoid_score(F.round("score", 6), F.col("terms")), 6) * 10).alias("tenth")
     return scores.groupBy("query", part).agg(F.count("*").alias("docs"))
 
 
+def bm25_sigmoid(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword scores of all matches on a scale of 0 to 1, counted per query and tenth (64 terms, as its statement has it)."""
+    return _sigmoid(spark, d, lexical.QUERY_TERMS)
+
+
+def bm25_sigmoid_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same by all terms of a query."""
+    return _sigmoid(spark, d, None)
+
+
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """Exact nearest 10 vectors of every asking row."""
     q, rows = _vectors(spark, d)
@@ -112,7 +130,7 @@ def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     rows = rows.join(docs.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
     asking = rows.where(F.col("doc") % ASK == 0).select(F.col("doc").alias("query"), F.col("vector").alias("vector"))
     near = vectors.knn(asking, rows, SEMANTIC, least=0.15)
-    terms = lexical.query_terms(asks, "doc_id", F.col("text"))
+    terms = lexical.query_terms(asks, "doc_id", F.col("text"), lexical.QUERY_TERMS)
     words = lexical.top_k(lexical.bm25(_postings(spark, d), terms, k1=1.2, floor=1e-6, repeats=False), LEXICAL)
     size = F.size(F.split(F.trim("text"), r"\s+")).alias("words")
     words = words.join(asks.select(F.col("doc_id").alias("query"), size), "query")
@@ -201,8 +219,8 @@ def two_hop_expansion_all(spark: SparkSession, d: str) -> DataFrame:
     return _two_hops(spark, d, ASK)
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    scores = lexical.top_k(lexical.bm25(_postings(spark, d), _terms(spark, d)), 180)
+def _ranked(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    scores = lexical.top_k(lexical.bm25(_postings(spark, d), _terms(spark, d, most)), 180)
     docs = _docs(spark, d).select(
         F.col("doc_id").alias("doc"), F.md5(lx.evidence_key(F.lit(""), F.lit(""), F.col("text"))).alias("key"),
         lx.estimate_tokens(F.col("text")).cast("long").alias("cost"), F.coalesce("lang", F.lit("")).alias("item"), F.coalesce("source", F.lit("")).alias("source"),
@@ -211,7 +229,12 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword search, dedupe and packing under the token budget: the offline search path end to end."""
+    """Keyword search (64 terms, as its statement has it), dedupe and packing under the token budget."""
+    return packing.pack(_ranked(spark, d, lexical.QUERY_TERMS))
+
+
+def budget_pack_all(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search by all terms, dedupe and packing under the token budget: the offline search path end to end."""
     return packing.pack(_ranked(spark, d))
 
 
@@ -223,9 +246,9 @@ def coverage_pack(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokens_postings, bm25_topk, bm25_fts_topk, bm25_sigmoid, knn_cosine_topk, knn_filtered, knn_metric_scores, rrf_fusion,
+        tokens_postings, bm25_topk, bm25_topk_all, bm25_fts_topk, bm25_sigmoid, bm25_sigmoid_all, knn_cosine_topk, knn_filtered, knn_metric_scores, rrf_fusion,
         additive_fusion, rrf_routes, additive_routes, token_overlap_join, estimate_tokens, evidence_key_dedupe, entity_contains_join, forget_marker_antijoin,
-        redact_spans, two_hop_expansion, two_hop_expansion_all, budget_pack, coverage_pack,
+        redact_spans, two_hop_expansion, two_hop_expansion_all, budget_pack, budget_pack_all, coverage_pack,
     )
 }
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from memloom.plans import retrieval
+from memloom.plans import registry, retrieval
 
 
 def test_two_hops_of_every_asking_order(spark, tmp_path):
@@ -41,3 +41,14 @@ def test_fusion_of_real_routes(spark, tmp_path):
     assert got == {i: pytest.approx(min(1, (s + key.get(i, 0) + boost * (i in (100, 8, 9))) / 2.5), abs=1e-5) for i, s in sem.items()}
     got = {r.doc: r.signals for r in retrieval.QUERIES["rrf_routes"](spark, str(tmp_path)).collect()}
     assert got == {100: "entity+lexical+semantic", 7: "lexical+semantic", 8: "entity+semantic", 9: "entity+lexical"}
+
+
+def test_later_terms_of_a_query_count(spark, tmp_path):
+    # the 65th to 80th word of the query are the only ones that 7 has
+    texts = {100: " ".join(f"w{i}" for i in range(80)), 7: " ".join(f"w{i}" for i in range(64, 80)), 8: "other"}
+    spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in texts.items()], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda n: registry.QUERIES[n](spark, str(tmp_path)).collect()
+    for name in ("bm25_topk_all", "budget_pack_all", "coverage_pack"):
+        assert {r.doc for r in run(name)} == {100, 7}, name
+    assert sum(r.docs for r in run("bm25_sigmoid_all")) == 2 and {r.doc for r in run("bm25_fts_topk")} == {100}
+    assert [r.coverage for r in run("coverage_ratio_all")] == [1.0]
