@@ -7,8 +7,8 @@ propagation over a whole Arrow batch at once makes the labels of a text agree.
 
 There are no hand labels, so the weights are trained on weak ones: cue words next to a unit label it
 in a bounded sample of texts (``SAMPLE``), each example counts with and without its cues, and
-rounds of self-training add the units the model is sure of. The trained model is small (its
-vocabulary is that of the sample) and goes to the tasks as a broadcast; every text is then tagged where it lies,
+rounds of self-training add the units the model is sure of. Name words are learned from the
+counts of all texts. The trained model is small (its vocabulary is that of the sample and the names) and goes to the tasks as a broadcast; every text is then tagged where it lies,
 without a shuffle.
 """
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread
+from ..sources.tables import materialize, spread
 from .pii_candidates import (
     ALLOWED, EMAIL, ID, LABELS, LETTERS, MAIL, NAME, NONE, PHONE, ADDRESS, Names, Unit, fold, units,
 )
@@ -125,34 +125,64 @@ def weak_label(text: str, u: Unit, before: list[str], after: list[str], names: N
     return votes[0] if votes else None
 
 
-def learn_names(texts: list[str], given: set[str], family: set[str]) -> Names:
-    """The directory's names, name words that keep company with many of them, and common words.
-
-    A word counts as a family name if it often follows given names of the directory, at least three different
-    ones (and as a given name the other way round): a fixed phrase with one name word teaches nothing. A word
-    that meets the other kind as often introduces or follows whole names and is none itself.
-    """
+def company(texts: Iterable[str], given: set[str], family: set[str]) -> Counter:
+    """Counts by (kind, word, partner): ``t`` of each word, ``f`` and ``g`` of a word beside a directory name of the other
+    kind, ``F`` and ``G`` of one beside a name of its own kind, ``n`` of the texts."""
     known = given | family
-    total: Counter = Counter()
-    beside: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    outside: Counter = Counter()
+    out: Counter = Counter()
     for t in texts:
+        out["n", "", ""] += 1
         mails = [m.span() for m in MAIL.finditer(t)] if "@" in t or "\uff20" in t or "[" in t else []
         toks = [(m.start(), m.end(), fold(m[0])) for m in LETTERS.finditer(t) if not any(a <= m.start() < b for a, b in mails)]
-        total.update(w for _, _, w in toks)
+        out.update(("t", w, "") for _, _, w in toks)
         for (_, e, a), (s, _, b) in zip(toks, toks[1:]):
-            if t[e:s] not in (" ", ", ", "-"):
+            if a not in known and b not in known or t[e:s] not in (" ", ", ", "-"):
                 continue
             if b not in known:
-                if a in given:
-                    beside["f", b][a] += 1
-                elif a in family:
-                    outside["f", b] += 1
+                out[("f", b, a) if a in given else ("F", b, "")] += 1
             if a not in known:
-                if b in family:
-                    beside["g", a][b] += 1
-                elif b in given:
-                    outside["g", a] += 1
+                out[("g", a, b) if b in family else ("G", a, "")] += 1
+    return out
+
+
+def corpus_names(texts: DataFrame, given: set[str], family: set[str]) -> Names:
+    """The directory's names, name words that keep company with many of them, and common words of all texts (text).
+
+    A word counts as a family name if it often follows given names of the directory, at least three different
+    ones (and as a given name the other way round): a fixed phrase with one name word teaches nothing. A word
+    that meets the other kind as often introduces or follows whole names and is none itself. Words are common
+    from 3 uses in ``SAMPLE`` texts on, so their list is bounded whatever the number of texts.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(*k, n) for k, n in company(pdf["text"], given, family).items()], columns=["kind", "word", "partner", "n"])
+
+    pairs = texts.mapInPandas(count, "kind string, word string, partner string, n long").groupBy("kind", "word", "partner").agg(F.sum("n").alias("n"))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    cols = [of("t").alias("total"), of("n").alias("texts")]
+    for side in "fg":
+        cols += [of(side).alias(side), of(side.upper()).alias(f"{side}_outside"), F.count(F.when(F.col("kind") == side, 1)).alias(f"{side}_partners")]
+    words = materialize(pairs.groupBy("word").agg(*cols))
+    n = words.agg(F.sum("texts")).first()[0] or 0
+    new = lambda side: (F.length("word") > 2) & (F.col(f"{side}_partners") >= 3) & (F.col(side) >= 0.2 * F.col("total")) & (F.col(side) > 2 * F.col(f"{side}_outside"))
+    words = words.select("word", new("g").alias("given"), new("f").alias("family"), (F.col("total") >= 3 * max(1.0, n / SAMPLE)).alias("common"))
+    rows = words.where("given or family or common").collect()
+    given, family = given | {r.word for r in rows if r.given}, family | {r.word for r in rows if r.family}
+    return Names(frozenset(given), frozenset(family), frozenset({r.word for r in rows if r.common} - given - family))
+
+
+def learn_names(texts: list[str], given: set[str], family: set[str]) -> Names:
+    """``corpus_names`` of a list of texts."""
+    total, outside = Counter(), Counter()
+    beside: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    for (kind, w, partner), n in company(texts, given, family).items():
+        if kind == "t":
+            total[w] = n
+        elif kind in "fg":
+            beside[kind, w][partner] = n
+        elif kind != "n":
+            outside[kind.lower(), w] = n
     new = {"g": set(), "f": set()}
     for (side, w), partners in beside.items():
         n = sum(partners.values())
@@ -296,11 +326,17 @@ def fit(b: Batch, y: np.ndarray, n_features: int, steps: int = 150, ridge: float
     return w, chain, skip
 
 
-def train(texts: list[str], lexicon: list[tuple[str, str]]) -> Model:
-    """Model from sample texts and the name directory; without texts it still knows fixed forms' absence."""
-    given = {fold(n) for n, k in lexicon if n and k == "given"}
-    family = {fold(n) for n, k in lexicon if n and k == "family"}
-    names = learn_names(texts, given, family)
+def directory(lexicon: list[tuple[str, str]]) -> tuple[set[str], set[str]]:
+    """Folded given and family names of the directory."""
+    return {fold(n) for n, k in lexicon if n and k == "given"}, {fold(n) for n, k in lexicon if n and k == "family"}
+
+
+def train(texts: list[str], lexicon: list[tuple[str, str]], names: Names | None = None) -> Model:
+    """Model from sample texts and the name directory; without texts it still knows fixed forms' absence.
+
+    ``names`` are those of the whole corpus; without them they are learned from the sample texts.
+    """
+    names = names or learn_names(texts, *directory(lexicon))
     index: dict[str, int] = {}
     b = Batch(texts, names, index, grow=True, weak=True)
     y = np.array(b.labels, dtype=np.int64)
@@ -346,7 +382,7 @@ def texts_of(messages: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def fit_model(messages: DataFrame, facts: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` distinct texts, drawn by their hash.
+    """Train on at most ``sample`` distinct texts, drawn by their hash; names are learned from all distinct texts.
 
     The share of hashes to take follows from the row counts (which Parquet keeps), so every task passes on
     only its part of about twice the sample however many tasks there are.
@@ -356,7 +392,7 @@ def fit_model(messages: DataFrame, facts: DataFrame, lexicon: DataFrame, sample:
     picked = texts_of(messages, facts).select("text").where(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000) + 1).distinct()
     texts = sorted(r[0] for r in picked.orderBy(h, "text").limit(sample).collect())
     pairs = [(r[0], (r[1] or "").strip().lower()) for r in lexicon.select("name", "name_kind").collect()]
-    return train(texts, pairs)
+    return train(texts, pairs, corpus_names(texts_of(messages, facts).select("text").distinct(), *directory(pairs)))
 
 
 def tagger(model: Model, spark) -> callable:
