@@ -182,12 +182,21 @@ def evidence_key_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_contains_join(spark: SparkSession, d: str) -> DataFrame:
-    """Facts whose text contains the name of one of the facts' own entities, counted per entity."""
+    """Facts whose text contains the name of one of the fact's own entities, counted per entity, as its statement has it."""
     facts = table(spark, d, "facts").select("id", F.lower("content").alias("content"), F.explode("entities").alias("e"))
     hit = facts.where("e <> '' and contains(content, lower(e))")
     return hit.groupBy(F.lower("e").alias("entity")).agg(F.countDistinct("id").alias("facts"))
 
 
+def entity_contains_all(spark: SparkSession, d: str) -> DataFrame:
+    """Facts whose text contains the name of any entity of the table, counted per entity."""
+    facts = table(spark, d, "facts")
+    names = facts.select(F.explode("entities").alias("name")).select(F.lower("name").alias("name"))
+    texts = facts.where("id is not null").select("id", F.lower("content").alias("text")).distinct()
+    hits = lexical.containing(texts.select(F.struct("id", F.md5("text").alias("version")).alias("doc"), "text"), names)
+    return hits.groupBy(F.col("name").alias("entity")).agg(F.countDistinct("doc.id").alias("facts"))
+
+
 def forget_marker_antijoin(spark: SparkSession, d: str) -> DataFrame:
     """Facts that stay after the values of all erased or retracted facts' subjects are forgotten by hash."""
     facts = table(spark, d, "facts")
@@ -247,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokens_postings, bm25_topk, bm25_topk_all, bm25_fts_topk, bm25_sigmoid, bm25_sigmoid_all, knn_cosine_topk, knn_filtered, knn_metric_scores, rrf_fusion,
-        additive_fusion, rrf_routes, additive_routes, token_overlap_join, estimate_tokens, evidence_key_dedupe, entity_contains_join, forget_marker_antijoin,
+        additive_fusion, rrf_routes, additive_routes, token_overlap_join, estimate_tokens, evidence_key_dedupe, entity_contains_join, entity_contains_all, forget_marker_antijoin,
         redact_spans, two_hop_expansion, two_hop_expansion_all, budget_pack, budget_pack_all, coverage_pack,
     )
 }

@@ -65,3 +65,12 @@ def test_names_are_learned_from_all_texts(spark):
     assert "okonwe" in names.family
     same = pii.learn_names(texts, *pii.directory([(n, "given") for n in ("Ann", "Bob", "Cid")]))
     assert names == same and "nothing" in names.common
+
+
+def test_every_fact_meets_every_entity(spark, tmp_path):
+    rows = [("a", "Ann likes Oslo", ["Ann"]), ("b", "Joanna saw ann in Li", ["Oslo", ""]), ("b", "no name", ["LI"]), ("c", None, ["Bo"]), ("d", "oslo", None)]
+    spark.createDataFrame(rows, "id string, content string, entities array<string>").write.parquet(f"{tmp_path}/facts.parquet")
+    names = {e.lower() for *_, es in rows for e in es or [] if e}
+    want = {n: len({i for i, t, _ in rows if t and n in t.lower()}) for n in names}
+    out = retrieval.QUERIES["entity_contains_all"](spark, str(tmp_path))
+    assert {r.entity: r.facts for r in out.collect()} == {n: k for n, k in want.items() if k} == {"ann": 2, "oslo": 2, "li": 2}
