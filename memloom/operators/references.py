@@ -27,6 +27,8 @@ from ..sources.tables import materialize
 #: Keys per slice of a period that the numbering window aims at.
 SLICE = 50_000
 DAY = 86_400_000_000
+#: Period of references without an instant of arrival; their bits stay for the exact check.
+UNDATED = -1
 #: A group of references is hot above this part (one in HOT) of all; it is split SALTS ways.
 HOT, SALTS = 1000, 32
 
@@ -114,7 +116,9 @@ def orphans(references: Iterable[DataFrame], targets: Iterable[DataFrame]) -> Da
     """All references without a valid target: ref_field, record_id, ref_key, at, reason.
 
     reason is ``absent``, ``removed`` or ``late``. Null and blank elements are no references; a
-    repeated element is one reference; empty tables give an empty result. References are reduced to
+    repeated element is one reference; empty tables give an empty result. A reference without an instant is never
+    late: its target counts as absent if it never arrived and as removed if it is
+    gone (whether a purge came before it cannot be told, so a purge does not count). References are reduced to
     distinct (field, key, period) with counts combined map-side before anything is joined, so a key that a third
     of all rows name is one row per period here; only the surviving groups are joined back to records, hot ones
     split by salt.
@@ -125,7 +129,7 @@ def orphans(references: Iterable[DataFrame], targets: Iterable[DataFrame]) -> Da
     tgts = None
     for t in targets:
         tgts = t if tgts is None else tgts.unionByName(t)
-    refs = materialize(refs.withColumn("period", F.expr(f"at div {DAY}")))
+    refs = materialize(refs.withColumn("period", F.coalesce(F.expr(f"at div {DAY}"), F.lit(UNDATED))))
     wanted = refs.groupBy("ref_field", "target", "key", "period").agg(F.count("*").alias("n"))
     keys = number_keys(tgts, wanted)
 
@@ -135,7 +139,7 @@ def orphans(references: Iterable[DataFrame], targets: Iterable[DataFrame]) -> Da
     never = F.col("gone") | F.col("purged").isNotNull()
     parents = words(keys.where(F.col("born").isNotNull() & ~never), *span).withColumnRenamed("bits", "has")
     left = asked.join(parents, [*span, "word"], "left").withColumn(
-        "bits", F.expr("case when period > born then bits & ~coalesce(has, 0L) else bits end")
+        "bits", F.expr(f"case when period > born and period <> {UNDATED} then bits & ~coalesce(has, 0L) else bits end")
     )
     survivors = left.where("bits <> 0").select(
         "ref_field", "period", *span, F.explode(positions(F.col("word"), F.col("bits"))).alias("pos")
