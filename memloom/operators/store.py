@@ -48,6 +48,12 @@ def scope_text(values: dict[str, Column]) -> Column:
     return F.concat_ws("&", *[F.concat(F.lit(k + "="), esc(values[k])) for k in sorted(values)])
 
 
+def link_rows(mentions: DataFrame) -> DataFrame:
+    """(entity, type, memory_id) of mentions (memory_id, text, type), texts in lower case with single spaces."""
+    tidy = F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ")
+    return mentions.where("memory_id is not null").select(tidy.alias("entity"), "type", "memory_id").where("entity <> ''")
+
+
 def link_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities with the memories that mention them: (entity, type, linked), new ones added.
 

@@ -151,19 +151,34 @@ def idempotent_receipts(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("id").agg(*[F.sum((F.col("outcome") == o).cast("long")).alias(o) for o in ("accepted", "replayed", "conflict")])
 
 
-def entity_links(spark: SparkSession, d: str) -> DataFrame:
-    """Entities of facts with the facts that mention them."""
+def _links(spark: SparkSession, d: str) -> DataFrame:
     f = _facts(spark, d).select(F.col("id").alias("memory_id"), F.explode("entities").alias("text"), F.col("kind").alias("type"))
-    none = spark.createDataFrame([], "entity string, type string, linked array<string>")
-    return store.link_entities(f, none).select("entity", "type", F.size("linked").alias("facts"))
+    return store.link_rows(f)
+
+
+def entity_links(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of facts with the number of facts that mention them."""
+    out = _links(spark, d).groupBy("entity").agg(F.min("type").alias("type"), F.countDistinct("memory_id").alias("facts"))
+    return out.select("entity", "type", F.col("facts").cast("int").alias("facts"))
+
+
+def entity_link_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of facts and each fact that mentions them, one row per link."""
+    return _links(spark, d).select("entity", "memory_id").distinct()
 
 
 def history_of_memories(spark: SparkSession, d: str) -> DataFrame:
-    """Change rows per memory, newest id first."""
+    """Number of change rows per memory and its newest three ids."""
     h = table(spark, d, "memory_history").groupBy(key(F.col("memory_id")).alias("memory"))
     return h.agg(F.count("*").alias("changes"), F.array_join(F.transform(F.slice(F.reverse(F.array_sort(F.collect_list("id"))), 1, 3), lambda x: x.cast("string")), ",").alias("newest"))
 
 
+def history_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every change row, by memory and newest id first (a range sort)."""
+    h = table(spark, d, "memory_history")
+    return h.select(key(F.col("memory_id")).alias("memory"), "*").orderBy("memory", F.desc("id"))
+
+
 def fact_times(spark: SparkSession, d: str) -> DataFrame:
     """Time texts of facts resolved against the day they were observed."""
     f = _facts(spark, d).where("time_text <> ''").select("id", "time_text", F.substring("observed_at", 1, 10).alias("anchor"))
@@ -217,7 +232,7 @@ QUERIES = {
         slot_current_state, slot_timeline, as_of_state, slot_conflicts, late_arrivals, anchor_forward_fill, duplicate_merge,
         corroboration_count, pattern_cards, arbitration_multipliers, dependency_closure, session_tail, global_ordinals,
         message_ids_sha256, synthetic_timestamps, participants, md5_dedupe, idempotent_receipts, entity_links,
-        history_of_memories, fact_times, extracted_attributes, passages, stream_tumbling, stream_sliding, stream_sessions,
+        history_of_memories, history_rows, entity_link_rows, fact_times, extracted_attributes, passages, stream_tumbling, stream_sliding, stream_sessions,
         stream_slot_updates,
     )
 }

@@ -74,3 +74,10 @@ def test_every_fact_meets_every_entity(spark, tmp_path):
     want = {n: len({i for i, t, _ in rows if t and n in t.lower()}) for n in names}
     out = retrieval.QUERIES["entity_contains_all"](spark, str(tmp_path))
     assert {r.entity: r.facts for r in out.collect()} == {n: k for n, k in want.items() if k} == {"ann": 2, "oslo": 2, "li": 2}
+
+
+def test_history_has_every_change(spark, tmp_path):
+    rows = [(i, " M1" if i % 2 else "m1") for i in range(7)] + [(9, "m0")]
+    spark.createDataFrame(rows, "id long, memory_id string").write.parquet(f"{tmp_path}/memory_history.parquet")
+    out = [(r.memory, r.id) for r in registry.QUERIES["history_rows"](spark, str(tmp_path)).collect()]
+    assert out == [("m0", 9)] + [("m1", i) for i in range(6, -1, -1)]
