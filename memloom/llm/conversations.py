@@ -1,22 +1,25 @@
 """Rebuilding conversations from message rows.
 
-A turn's parent is the turn one ordinal before it. Parents inside a block of ``BLOCK`` ordinals are
-resolved by the aggregate that builds the block's bitmap; the blocks of a session form a chain whose
-pointers are resolved by pointer jumping (each round every open block adopts the pointer of the block
-it points at, so n blocks need log2 n joins). No step gathers a session in one task: turns, blocks and
-session verdicts are aggregates with map-side combine, and joins are on (session, block).
+A turn's parent is its predecessor's turn, one ordinal before. Parent pointers are resolved by pointer
+jumping over turns: each round every open turn adopts the pointer of the turn it points at, so a chain
+of n turns needs log2 n joins. What comes out of it for a turn (its root, the length of its path, or
+that it is an orphan or on a cycle) decides gaps and turn numbers. No step gathers a session in one
+task: turns and session verdicts are aggregates with map-side combine, and joins are on
+(session, turn) or (session, stretch of turns).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import instant, is_visible, key, strip
 from ..sources.tables import discard, materialize
 
-#: Turns whose parents are resolved together. At most 62, as the bitmap is a bigint.
-BLOCK = 16
+#: Turns per join key where a verdict goes back to the turns of its session, so that a huge session spreads.
+STRETCH = 1024
 #: Texts are compared by two independent 64-bit hashes and their length.
 SEED = 17
 
@@ -26,33 +29,40 @@ def chain_roots(nodes: DataFrame, group: str, node: str, parent: str) -> DataFra
 
     ``nodes`` has unique (group, node); ``parent`` is null for a root. Adds ``root`` (null if none),
     ``hops`` and ``status``: ``rooted``, ``orphan`` (the chain ends at a parent that has no row) or
-    ``cycle``. Empty input gives empty output. Solved nodes leave the work; a round only joins the
-    open ones with the pointers of the last round, and the loop ends when a round finds none open, or,
-    for cycles, when 2^rounds exceeds the number of nodes.
+    ``cycle``. Empty input gives empty output. A round joins the open nodes with the nodes they point
+    at. Solved nodes leave the work: they are kept as targets only while an open node points at them
+    (a pointer is only ever replaced by the pointer of an open node, so none comes back). The loop
+    ends when no node is open, or, for cycles, when 2^rounds exceeds the number of nodes.
     """
     at = nodes.select(F.col(group).alias("g"), F.col(node).alias("v"), F.col(parent).alias("p"))
-    total = None
-    state = at.select("g", "v", "p", F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.when(F.col("p").isNull(), F.lit("rooted")).alias("status"), F.when(F.col("p").isNull(), F.col("v")).alias("root"))
-    state, rounds = materialize(state), 0
-    while True:
-        left = state.where("status is null").count()
-        if not left:
-            break
+    top = F.col("p").isNull()
+    state = materialize(at.select("g", "v", "p", F.when(top, 0).otherwise(1).cast("long").alias("hops"), F.when(top, F.lit("rooted")).alias("status"), F.when(top, F.col("v")).alias("root")))
+    solved, opened = [state.where("status is not null")], state.where("status is null")
+    total, rounds, written = None, 0, []
+    targets, size = state, None
+    while left := opened.count():
         total = total or state.count()
+        size = size or total
         if 2**rounds > total:
-            state = state.withColumn("status", F.coalesce("status", F.lit("cycle")))
+            solved.append(opened.withColumn("status", F.lit("cycle")))
             break
-        step = state.select("g", F.col("v").alias("p"), F.col("p").alias("p2"), F.col("hops").alias("h2"), F.col("status").alias("s2"), F.col("root").alias("r2"), F.lit(True).alias("there"))
-        done = state.where("status is not null")
-        moved = state.where("status is null").select("g", "v", "p", "hops").join(step, ["g", "p"], "left").select(
+        if 2 * left < size:
+            targets = materialize(targets.join(opened.select("g", F.col("p").alias("v")).distinct(), ["g", "v"], "left_semi"))
+            written.append(targets)
+            size = 2 * left
+        step = targets.select("g", F.col("v").alias("p"), F.col("p").alias("p2"), F.col("hops").alias("h2"), F.col("status").alias("s2"), F.col("root").alias("r2"), F.lit(True).alias("there"))
+        moved = materialize(opened.select("g", "v", "p", "hops").join(step, ["g", "p"], "left").select(
             "g", "v", F.when(F.col("s2").isNull(), F.col("p2")).alias("p"),
             (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"),
             F.when(F.col("there").isNull(), "orphan").otherwise(F.col("s2")).alias("status"), F.col("r2").alias("root"),
-        )
-        last, state = state, materialize(done.unionByName(moved))
-        discard(last)
+        ))
+        targets = targets.where("status is not null").unionByName(moved)
+        solved.append(moved.where("status is not null"))
+        opened = moved.where("status is null")
         rounds += 1
-    return state.select(F.col("g").alias(group), F.col("v").alias(node), "root", "hops", "status")
+    for t in written:
+        discard(t)
+    return reduce(DataFrame.unionByName, solved).select(F.col("g").alias(group), F.col("v").alias(node), "root", "hops", "status")
 
 
 def message_versions(messages: DataFrame, with_text: bool = False) -> DataFrame:
@@ -98,62 +108,54 @@ def turns(versions: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def session_verdicts(turn_rows: DataFrame) -> DataFrame:
+def turn_paths(turn_rows: DataFrame) -> DataFrame:
+    """Path of every turn that has an ordinal: session_id, ordinal, root, hops and status (see ``chain_roots``).
+
+    The pointer names the predecessor's turn whether or not it has a row; turn 0 opens the session.
+    """
+    link = turn_rows.where("ordinal is not null").select("session_id", "ordinal", F.when(F.col("ordinal") != 0, F.col("ordinal") - 1).alias("parent"))
+    return chain_roots(link, "session_id", "ordinal", "parent")
+
+
+def session_verdicts(turn_rows: DataFrame, paths: DataFrame) -> DataFrame:
     """Per session the reasons to leave it out, as boolean columns, and ``bad`` if any holds.
 
-    gap: a turn has no path to ordinal 0 (or no ordinal at all). conflict: messages of one turn differ.
+    gap: a turn has no path to the opening turn (or no ordinal at all). conflict: messages of one turn differ.
     stranger: a role has no speaker. blank: a user or assistant turn has no visible text. one_sided:
     no user or no assistant turn. unanswered: the last of their turns is the user's.
     """
+    user, both = F.col("speaker") == "user", F.col("speaker").isin("user", "assistant")
+    no = F.lit(False)
     flags = turn_rows.select(
-        "session_id", "ordinal", "speaker", "conflict", "stranger", "blank",
-        F.expr(f"ordinal div {BLOCK}").alias("block"), F.expr(f"shiftleft(1L, cast(pmod(ordinal, {BLOCK}) as int))").alias("bit"),
-        (F.col("ordinal").isNull() | (F.col("ordinal") < 0)).alias("nowhere"),
-    )
-    end = F.max(F.when(F.col("speaker").isin("user", "assistant"), F.struct("ordinal", "speaker"))).alias("end")
-    some = lambda c: F.max(c).alias(c)
-    blocks = flags.groupBy("session_id", "block").agg(
-        F.bit_or("bit").alias("bits"), some("conflict"), some("stranger"), some("blank"), some("nowhere"), end,
-        F.max(F.col("speaker") == "user").alias("user"), F.max(F.col("speaker") == "assistant").alias("assistant"),
-    )
-    blocks = materialize(blocks)
-    # a block points at the one before it if that can be reached: its own turns run on from its first
-    link = blocks.where("block is not null and block >= 0").select("session_id", "block", F.when(F.col("block") > 0, F.col("block") - 1).alias("parent"))
-    broken = chain_roots(link, "session_id", "block", "parent").where("status <> 'rooted'").select("session_id", F.lit(True).alias("lost"))
-    full = 2**BLOCK - 1
-    # inside a block the set bits must run from the first; only a session's last block may end early
-    hole = F.expr("bits & (bits + 1)") != 0
-    last = F.max(F.struct("block", "bits")).alias("last")
-    per = blocks.groupBy("session_id").agg(
-        F.max(hole).alias("hole"), F.sum(F.when(F.col("bits") != full, 1).otherwise(0)).alias("short"), last,
-        *[F.max(c).alias(c) for c in ("conflict", "stranger", "blank", "nowhere", "end", "user", "assistant")],
+        "session_id", F.col("ordinal").isNull().alias("gap"), "conflict", "stranger", "blank", user.alias("user"), (F.col("speaker") == "assistant").alias("assistant"),
+        # order of the turn and who speaks in one number, so that the maximum tells the last speaker
+        F.when(both & F.col("ordinal").isNotNull(), F.col("ordinal") * 2 + user.cast("long")).alias("end"),
     )
-    early = F.col("short") > F.when(F.col("last.bits") != full, 1).otherwise(0)
-    per = per.join(broken.distinct(), "session_id", "left")
+    lost = paths.where("status <> 'rooted'").select("session_id", F.lit(True).alias("gap"), *[no.alias(c) for c in ("conflict", "stranger", "blank", "user", "assistant")], F.lit(None).cast("long").alias("end"))
+    per = flags.unionByName(lost).groupBy("session_id").agg(*[F.max(c).alias(c) for c in flags.columns[1:]])
     out = per.select(
-        "session_id",
-        (F.col("hole") | early | F.col("nowhere") | F.coalesce("lost", F.lit(False))).alias("gap"),
-        "conflict", "stranger", "blank",
-        (~F.col("user") | ~F.col("assistant")).alias("one_sided"),
-        F.coalesce(F.col("end.speaker") == "user", F.lit(False)).alias("unanswered"),
+        "session_id", "gap", "conflict", "stranger", "blank", (~F.col("user") | ~F.col("assistant")).alias("one_sided"),
+        F.coalesce(F.pmod("end", F.lit(2)) == 1, no).alias("unanswered"),
     )
     return out.withColumn("bad", F.expr("gap or conflict or stranger or blank or one_sided or unanswered"))
 
 
 def excluded_sessions(messages: DataFrame, aliases: DataFrame) -> DataFrame:
     """Sessions to leave out with their reasons."""
-    return session_verdicts(turns(message_versions(messages), aliases)).where("bad").drop("bad")
+    rows = materialize(turns(message_versions(messages), aliases))
+    return session_verdicts(rows, turn_paths(rows)).where("bad").drop("bad")
 
 
 def conversations(messages: DataFrame, aliases: DataFrame) -> DataFrame:
     """Turns of the intact sessions: session_id, turn (0, 1, ...), speaker, text.
 
-    The turn is the length of the path from the root, which in an intact session equals the ordinal.
-    Verdicts are joined per (session, block of turns), so a session that holds a third of all rows
-    spreads over as many keys as it has blocks.
+    The turn is the length of the turn's path from the root. Verdicts go back to the paths per (session,
+    stretch of turns), so a session that holds a third of all rows spreads over many keys.
     """
     rows = materialize(turns(message_versions(messages, with_text=True), aliases))
-    good = session_verdicts(rows).where("not bad").select("session_id")
-    keyed = rows.where("ordinal >= 0").withColumn("block", F.expr(f"ordinal div {BLOCK}"))
-    blocks = keyed.select("session_id", "block").distinct().join(good, "session_id")
-    return keyed.join(blocks, ["session_id", "block"]).select("session_id", F.col("ordinal").alias("turn"), "speaker", "text")
+    paths = turn_paths(rows.select("session_id", "ordinal"))
+    good = session_verdicts(rows, paths).where("not bad").select("session_id")
+    keyed = paths.withColumn("stretch", F.expr(f"ordinal div {STRETCH}"))
+    kept = keyed.select("session_id", "stretch").distinct().join(good, "session_id")
+    turn_of = keyed.join(kept, ["session_id", "stretch"]).select("session_id", "ordinal", F.col("hops").alias("turn"))
+    return rows.join(turn_of, ["session_id", "ordinal"]).select("session_id", "turn", "speaker", "text")

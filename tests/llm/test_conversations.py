@@ -57,7 +57,7 @@ def random_rows(seed, sessions):
     r = random.Random(seed)
     rows = []
     for s in range(sessions):
-        # lengths around the block size, and one session with a third of all turns
+        # lengths around powers of two, and one session with a third of all turns
         n = 400 if s == 0 else r.choice([1, 2, 3, 15, 16, 17, 32, 33])
         for o in range(n):
             if r.random() < 0.004:
@@ -111,3 +111,25 @@ def test_pointer_jumping(spark):
     assert all(out["g", i].status == "rooted" and out["g", i].root == 0 and out["g", i].hops == i for i in range(100))
     assert all(out["h", i].status == "orphan" for i in range(5, 9))
     assert all(out["c", i].status == "cycle" for i in range(1, 5))
+
+
+def test_gaps_and_turns_come_from_the_paths(spark, monkeypatch):
+    rows = [(f"a{o}", "gap", o, ("user", "bot")[o % 2], "x", None, T0) for o in (0, 1, 2, 3, 6, 7)]
+    rows += [(f"b{o}", "whole", o, ("user", "bot")[o % 2], "x", None, T0) for o in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.session_id for r in conversations.excluded_sessions(df, aliases(spark)).where("gap").collect()} == {"gap"}
+
+    def reversed_paths(nodes, group, node, parent):
+        return nodes.select(group, node, F.lit(0).cast("long").alias("root"), (F.lit(5) - F.col(node)).alias("hops"), F.lit("rooted").alias("status"))
+
+    monkeypatch.setattr(conversations, "chain_roots", reversed_paths)
+    assert conversations.excluded_sessions(df, aliases(spark)).count() == 0
+    kept = conversations.conversations(df, aliases(spark)).where("session_id = 'whole'").orderBy("turn").collect()
+    assert [r.speaker for r in kept] == ["assistant", "user"] * 3
+
+
+def test_branches_share_a_root(spark):
+    rows = [("t", i, i // 2 if i else None) for i in range(64)]
+    rows[1] = ("t", 1, 0)
+    out = conversations.chain_roots(spark.createDataFrame(rows, "g string, v long, p long"), "g", "v", "p").collect()
+    assert len(out) == 64 and all(r.status == "rooted" and r.root == 0 and r.hops == r.v.bit_length() for r in out)
