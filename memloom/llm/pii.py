@@ -1,128 +1,38 @@
-"""Personal data in free text: a skip-chain conditional random field over candidate units.
+"""Personal data in free text, found by the skip-chain field of ``pii_field``.
 
-``pii_candidates`` proposes units (mail-like strings, numbers, street phrases, name phrases). The
-field labels each as one of ``LABELS``. Neighbouring units share a chain potential and units of a
-text that repeat or resemble each other share a skip potential, however far apart; loopy belief
-propagation over a whole Arrow batch at once makes the labels of a text agree.
+``pii_candidates`` proposes units (mail-like strings, numbers, street phrases, name phrases), whose
+tokens the field tags. The document of a message is its session, that of a quote its fact: what one
+message says of a number or a name reaches its repeats in all others of the session.
+
+Texts are first tagged where they lie. Mentions then send their messages to their group in the document
+by an aggregate, only groups with several mentions stay, and the texts those link are tagged again with
+what they receive, twice. So no step gathers a session.
 
 There are no hand labels, so the weights are trained on weak ones: cue words next to a unit label it
-in a bounded sample of texts (``SAMPLE``), each example counts with and without its cues, and
-rounds of self-training add the units the model is sure of. Name words are learned from the
-counts of all texts. The trained model is small (its vocabulary is that of the sample and the names) and goes to the tasks as a broadcast; every text is then tagged where it lies,
-without a shuffle.
+in a bounded sample of texts (``SAMPLE``, whole documents), and rounds of self-training add the tokens the
+model is sure of. Name words are learned from the counts of all texts. The trained model is small (its
+vocabulary is that of the sample and the names) and goes to the tasks as a broadcast.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import key
 from ..sources.tables import materialize, spread
-from .pii_candidates import (
-    ALLOWED, EMAIL, ID, LABELS, LETTERS, MAIL, NAME, NONE, PHONE, ADDRESS, Names, Unit, fold, units,
-)
+from .pii_candidates import LABELS, LETTERS, MAIL, Names, fold
+from .pii_field import SKIP_ROUNDS, T, Batch, Model, beliefs, decode, fit, infer, messages as sent_messages, softmax, sums
 
-#: Texts that the model is trained on: those with the smallest hashes, at most so many.
+#: Texts that the model is trained on: those of the documents with the smallest hashes, at most so many.
 SAMPLE = 30_000
-ROUNDS = 5
-#: Marginals from which a unit without a weak label joins the training set, by round of self-training.
+#: Marginals from which a token without a weak label joins the training set, by round of self-training.
 SURE = (0.9, 0.8)
-K = len(LABELS)
-
-# Cue words of the weak labels (folded, lower case). They only label training units.
-CUES = {
-    PHONE: "phone telephone tel telefon telefono mobile cell call ring llama ruf appelle dial fax handy movil reach erreichbar "
-    "contact laisse dejo an au",
-    ID: "social security passport tax steuer ausweis documento document identity dni nif nie nin insurance identidad national "
-    "card border securite sociale id pasaporte passeport reisepass ssn piece",
-    NONE: "order invoice ticket batch serial reservation chapter page score version price room gate terminal highway port hall "
-    "units build code rechnung bestellung factura pedido commande facture kapitel seite tramo tram line entry note time "
-    "isbn lot regex source ext budget hits regal",
-}
-CUE = {w: lab for lab, ws in CUES.items() for w in ws.split()}
-UNIT_WORDS = frozenset("eur usd euro euros dollars units tokens total percent prozent".split())
-INTRO = frozenset(
-    "mr mrs ms dr herr frau senor senora monsieur madame mme call ask heisse llamo appelle appelez contact cousin neighbour "
-    "holder name regards best gruss saludos cordialement an chez c o am llama ruf wife doctor".split()
-)
-BORDER = re.compile(r"(?<=[.!?])\s|\n")
-
-
-@dataclass
-class Model:
-    """Weights by feature, chain and skip potentials and the name words."""
-
-    names: Names
-    index: dict[str, int]
-    weights: np.ndarray
-    chain: np.ndarray
-    skip: np.ndarray
-
-
-def shape(text: str) -> str:
-    return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text))
-
-
-def context(text: str, u: Unit) -> tuple[list[str], list[str]]:
-    """Folded words before (nearest first) and after a unit, within its sentence."""
-    before = LETTERS.findall(BORDER.split(text[max(0, u.start - 48) : u.start])[-1])[-4:][::-1]
-    after = LETTERS.findall(BORDER.split(text[u.end : u.end + 24], maxsplit=1)[0])[:2]
-    return [fold(w) for w in before], [fold(w) for w in after]
-
-
-def features(text: str, u: Unit, before: list[str], after: list[str]) -> list[str]:
-    """Features of a unit; those that name context words start with ``c:``."""
-    k = u.kind[0]
-    out = [k, f"{k}<{text[u.start - 1 : u.start]}", f"{k}>{text[u.end : u.end + 1]}"]
-    out += [f"{k}{m}" for m in u.marks if m]
-    out += [f"c:{k}-{i}{w}" for i, w in enumerate(before[:3])] + [f"c:{k}+{i}{w}" for i, w in enumerate(after)]
-    out += [f"c:{k}~{w}" for w in before]
-    if u.kind == "number":
-        digits = sum(ch.isdigit() for ch in u.text)
-        s = shape(u.text)
-        out += [f"ns{s}", f"nd{digits}", f"nsep{''.join(sorted(set(re.sub('[A9]', '', s))))}", f"np{u.text[:2]}{digits}", f"nh{s[:4]}", f"nt{s[-4:]}"]
-        out.append("nplus" if u.text[0] == "+" or u.text.startswith("00") else "n0" if u.text[0] == "0" else "nx")
-        if re.match(r"(?:19|20)\d\d[-/]\d\d[-/]\d\d$|\d\d?[-/.]\d\d?[-/.](?:19|20)\d\d$", u.text):
-            out.append("ndate")
-        out.append(f"nletters{bool(re.search('[A-Z]', s))}")
-    elif u.kind == "place":
-        words = [w.lower() for w in LETTERS.findall(u.text)]
-        out += [f"pw{w}" for w in words] + [f"p{len(words)}{u.text.islower()}"]
-    return out
-
-
-def weak_label(text: str, u: Unit, before: list[str], after: list[str], names: Names) -> int | None:
-    """Label that cue words and unmistakable forms give a unit, or None."""
-    if u.kind == "mail":
-        return EMAIL
-    if u.kind == "place":
-        if before[:1] and CUE.get(before[0]) == NONE:
-            return NONE
-        return None if u.text.islower() else ADDRESS
-    if u.kind == "name":
-        kinds = set(u.marks[0])
-        if {"g", "b"} & kinds and {"f", "b"} & kinds:
-            return NAME
-        if "u" in kinds and before and before[0] in INTRO:
-            return NAME
-        return NONE if kinds <= {"u", "i"} else None
-    if "spoken" in u.marks or u.text[0] == "+":
-        return PHONE
-    if sum(ch.isalnum() for ch in u.text) <= 5 or after[:1] and after[0] in UNIT_WORDS:
-        return NONE
-    if text[u.start - 1 : u.start] == "-":
-        return NONE
-    if {"my", "mon", "mi", "meine"} & set(before) and {"number", "numero", "nummer"} & set(before[:2]) and not CUE.keys() & set(before):
-        return PHONE
-    votes = [CUE[w] for w in before[:3] if w in CUE]
-    return votes[0] if votes else None
 
 
 def company(texts: Iterable[str], given: set[str], family: set[str]) -> Counter:
@@ -193,219 +103,151 @@ def learn_names(texts: list[str], given: set[str], family: set[str]) -> Names:
     return Names(frozenset(given), frozenset(family), frozenset(common))
 
 
-def links(spans: list[Unit]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbours and skip edges between units that repeat or resemble each other.
-
-    Each unit is tied to the previous one with the same digits, shape or name word, so a text with n
-    mentions gets O(n) edges, not all pairs, and agreement still travels along them.
-    """
-    chain = [(i, i + 1) for i in range(len(spans) - 1)]
-    skip, last = set(), {}
-    for i, u in enumerate(spans):
-        if u.kind == "name":
-            marks = [f"w{fold(w)}" for w in LETTERS.findall(u.text) if len(w) > 1]
-        elif u.kind == "number":
-            marks = [f"d{re.sub('[^0-9]', '', u.text)}", f"s{shape(u.text)}"]
-        else:
-            marks = [u.kind]
-        for m in marks:
-            if m in last and last[m] != i - 1:
-                skip.add((last[m], i))
-            last[m] = i
-    return chain, sorted(skip)
-
-
-class Batch:
-    """Units of many texts with their features and edges, as arrays."""
-
-    def __init__(self, texts: list[str], model_names: Names, index: dict[str, int] | None, grow: bool = False, weak: bool = False):
-        self.units: list[tuple[int, Unit]] = []
-        feats, sizes, chain, skip, allowed = [], [], [], [], []
-        self.cues, self.labels = [], []
-        for d, t in enumerate(texts):
-            us = units(t, model_names)
-            if not us:
-                continue
-            base = len(self.units)
-            a, b = links(us) if len(us) > 1 else ([], [])
-            chain += [(base + i, base + j) for i, j in a]
-            skip += [(base + i, base + j) for i, j in b]
-            for u in us:
-                before, after = context(t, u)
-                n = 0
-                for f in features(t, u, before, after):
-                    i = index.setdefault(f, len(index)) if grow else index.get(f)
-                    if i is not None:
-                        feats.append(i)
-                        self.cues.append(f[0] == "c")
-                        n += 1
-                sizes.append(n)
-                allowed.append([lab in ALLOWED[u.kind] for lab in range(K)])
-                self.units.append((d, u))
-                if weak:
-                    y = weak_label(t, u, before, after, model_names)
-                    self.labels.append(-1 if y is None else y)
-        self.n = len(self.units)
-        self.feats = np.array(feats, dtype=np.int64)
-        self.node = np.repeat(np.arange(self.n), np.array(sizes, dtype=np.int64)) if self.n else np.zeros(0, np.int64)
-        self.chain = np.array(chain, dtype=np.int64).reshape(-1, 2)
-        self.skip = np.array(skip, dtype=np.int64).reshape(-1, 2)
-        self.barred = np.where(np.array(allowed, dtype=bool).reshape(-1, K), 0.0, -1e4)
-
-    def scores(self, weights: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
-        f, node = (self.feats, self.node) if keep is None else (self.feats[keep], self.node[keep])
-        w = weights[f]
-        return np.stack([np.bincount(node, weights=w[:, c], minlength=self.n) for c in range(K)], axis=1) + self.barred
-
-
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
-
-
-def propagate(b: Batch, model: Model) -> np.ndarray:
-    """Marginals of all units by loopy belief propagation on the chain and skip edges together."""
-    local = b.scores(model.weights)
-    src = np.concatenate([b.chain[:, 0], b.chain[:, 1], b.skip[:, 0], b.skip[:, 1]])
-    dst = np.concatenate([b.chain[:, 1], b.chain[:, 0], b.skip[:, 1], b.skip[:, 0]])
-    if not len(src):
-        return softmax(local)
-    c, s = len(b.chain), len(b.skip)
-    pots = np.concatenate([np.tile(p, (n, 1, 1)) for p, n in ((model.chain, c), (model.chain.T, c), (model.skip, s), (model.skip, s))])
-    back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
-    msg = np.zeros((len(src), K))
-    for _ in range(ROUNDS):
-        belief = local + np.stack([np.bincount(dst, weights=msg[:, k], minlength=b.n) for k in range(K)], axis=1)
-        out = (belief[src] - msg[back])[:, :, None] + pots
-        top = out.max(axis=1)
-        out = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
-        out -= out.max(axis=1, keepdims=True)
-        msg = 0.5 * msg + 0.5 * out
-    return softmax(local + np.stack([np.bincount(dst, weights=msg[:, k], minlength=b.n) for k in range(K)], axis=1))
-
-
-def fit(b: Batch, y: np.ndarray, n_features: int, steps: int = 150, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights and potentials that maximize the pseudo-likelihood of the labels that are known (y >= 0).
-
-    Every unit counts twice, with and without its cue features, so that form is learned besides cues.
-    """
-    w, chain, skip = np.zeros((n_features, K)), np.zeros((K, K)), np.zeros((K, K))
-    known = y >= 0
-    target = np.zeros((b.n, K))
-    target[np.flatnonzero(known), y[known]] = 1
-    params, moments = [w, chain, skip], [[np.zeros_like(p), np.zeros_like(p)] for p in (w, chain, skip)]
-    bare = ~np.array(b.cues, dtype=bool)
-    ce = b.chain[known[b.chain].all(axis=1)] if len(b.chain) else b.chain
-    se = b.skip[known[b.skip].all(axis=1)] if len(b.skip) else b.skip
-    rng = np.random.default_rng(11)
-    for t in range(1, steps + 1):
-        keep = bare | (rng.random(len(bare)) < 0.5)
-        s = b.scores(w, keep)
-        if t % 2 and len(ce) + len(se):
-            for k in range(K):
-                s[:, k] += np.bincount(ce[:, 1], weights=chain[y[ce[:, 0]], k], minlength=b.n) + np.bincount(ce[:, 0], weights=chain[k, y[ce[:, 1]]], minlength=b.n)
-                s[:, k] += np.bincount(se[:, 1], weights=skip[y[se[:, 0]], k], minlength=b.n) + np.bincount(se[:, 0], weights=skip[k, y[se[:, 1]]], minlength=b.n)
-        g = np.where(known[:, None], softmax(s) - target, 0.0)
-        f, node = b.feats[keep], b.node[keep]
-        gw = np.stack([np.bincount(f, weights=g[node, k], minlength=n_features) for k in range(K)], axis=1)
-        gc, gs = np.zeros((K, K)), np.zeros((K, K))
-        if t % 2:
-            np.add.at(gc, y[ce[:, 0]], g[ce[:, 1]])
-            np.add.at(gc.T, y[ce[:, 1]], g[ce[:, 0]])
-            np.add.at(gs, y[se[:, 0]], g[se[:, 1]])
-            np.add.at(gs, y[se[:, 1]], g[se[:, 0]])
-            gs = (gs + gs.T) / 2
-        m = max(1, int(known.sum()))
-        for p, grad, (m1, m2) in zip(params, (gw / m, gc / m, gs / m), moments):
-            grad = grad + ridge / 10 * p if p is w else grad + ridge * p
-            m1 *= 0.9
-            m1 += 0.1 * grad
-            m2 *= 0.99
-            m2 += 0.01 * grad**2
-            p -= 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-    return w, chain, skip
-
-
 def directory(lexicon: list[tuple[str, str]]) -> tuple[set[str], set[str]]:
     """Folded given and family names of the directory."""
     return {fold(n) for n, k in lexicon if n and k == "given"}, {fold(n) for n, k in lexicon if n and k == "family"}
 
 
-def train(texts: list[str], lexicon: list[tuple[str, str]], names: Names | None = None) -> Model:
+def train(texts: list[str], lexicon: list[tuple[str, str]], names: Names | None = None, docs: list | None = None) -> Model:
     """Model from sample texts and the name directory; without texts it still knows fixed forms' absence.
 
     ``names`` are those of the whole corpus; without them they are learned from the sample texts.
+    ``docs`` tells which texts form a document.
     """
     names = names or learn_names(texts, *directory(lexicon))
-    index: dict[str, int] = {}
-    b = Batch(texts, names, index, grow=True, weak=True)
-    y = np.array(b.labels, dtype=np.int64)
-    size = max(1, len(index))
-    if not (y >= 0).any():
-        return Model(names, index, np.zeros((size, K)), np.zeros((K, K)), np.zeros((K, K)))
-    model = Model(names, index, *fit(b, y, size))
-    for least in SURE:
-        sure = propagate(b, model)
-        more = np.where(y >= 0, y, np.where(sure.max(axis=1) >= least, sure.argmax(axis=1), -1))
-        model = Model(names, index, *fit(b, more, size))
+    model = Model(names, {}, {}, *(np.zeros(0) for _ in range(4)))
+    b = Batch(texts, model, docs, grow=True)
+    model = fit(b, b.weak, model)
+    for least in SURE if (b.weak >= 0).any() else ():
+        sure = softmax(infer(b, model))
+        model = fit(b, np.where(b.weak >= 0, b.weak, np.where(sure.max(axis=1) >= least, sure.argmax(axis=1), -1)), model)
     return model
 
 
-def tag(texts: list[str], model: Model) -> list[list[tuple[str, int, int]]]:
-    """(type, start, end) of the personal data in each text. Equal texts of the batch are tagged once."""
-    order = {t: i for i, t in enumerate(dict.fromkeys(t for t in texts if t))}
-    b = Batch(list(order), model.names, model.index)
-    found: list[list[tuple[str, int, int]]] = [[] for _ in order]
-    if b.n:
-        best = propagate(b, model).argmax(axis=1)
-        for (d, u), lab in zip(b.units, best.tolist()):
-            if lab != NONE:
-                start = u.start
-                found[d].append((LABELS[lab], start, u.end))
-    return [found[order[t]] if t else [] for t in texts]
+def tag(texts: list[str], model: Model, docs: list | None = None, skips: bool = True) -> list[list[tuple[str, int, int]]]:
+    """(type, start, end) of the personal data in each text; texts of one document (``docs``) share evidence.
+
+    Equal texts of a document are one. Without ``skips`` the skip potentials are left out.
+    """
+    of = list(zip(docs, texts)) if docs else [(t, t) for t in texts]
+    order = {x: i for i, x in enumerate(dict.fromkeys(x for x in of if x[1]))}
+    b = Batch([t for _, t in order], model, [d for d, _ in order])
+    found = decode(b, infer(b, model, skips)) if b.n else [[] for _ in order]
+    return [found[order[x]] if x[1] else [] for x in of]
 
 
 SPANS = "array<struct<pii_type: string, start_pos: bigint, end_pos: bigint>>"
+MENTIONS = "array<struct<n: int, mark: string, told: array<double>>>"
+#: What tells a text of the tables from all others but copies of its row.
+ROW = ["source_table", "record_id", "field", "elem", "doc", "h"]
 
 
 def texts_of(messages: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every text to search, one row each: source_table, record_id, field, elem, text.
+    """Every text to search, one row each: source_table, record_id, field, elem, doc, text.
 
-    Null texts, unreadable JSON and null elements have none; an empty table adds no rows.
+    Null texts, unreadable JSON and null elements have none; an empty table adds no rows. ``doc`` is the
+    session of a message (the message itself if it has none) and the fact of a quote.
     """
     part = lambda f, t: F.struct(F.lit(f).alias("field"), t.alias("text"))
-    m = messages.select(F.col("id").alias("record_id"), F.explode(F.array(part("content", F.col("content")), part("body", F.get_json_object("body", "$.content")))).alias("p"))
-    m = m.select(F.lit("messages").alias("source_table"), "record_id", "p.field", F.lit(0).cast("long").alias("elem"), "p.text")
-    q = facts.select(F.col("id").alias("record_id"), F.posexplode("source_quotes").alias("elem", "text"))
-    q = q.select(F.lit("facts").alias("source_table"), "record_id", F.lit("source_quotes").alias("field"), F.col("elem").cast("long").alias("elem"), "text")
+    session = key(F.col("session_id")) if "session_id" in messages.columns else F.lit(None).cast("string")
+    own = lambda kind: F.concat(F.lit(kind), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    m = messages.select(
+        F.col("id").alias("record_id"), F.coalesce(F.concat(F.lit("s:"), session), own("m:")).alias("doc"),
+        F.explode(F.array(part("content", F.col("content")), part("body", F.get_json_object("body", "$.content")))).alias("p"),
+    )
+    m = m.select(F.lit("messages").alias("source_table"), "record_id", "p.field", F.lit(0).cast("long").alias("elem"), "doc", "p.text")
+    q = facts.select(F.col("id").alias("record_id"), own("f:").alias("doc"), F.posexplode("source_quotes").alias("elem", "text"))
+    q = q.select(F.lit("facts").alias("source_table"), "record_id", F.lit("source_quotes").alias("field"), F.col("elem").cast("long").alias("elem"), "doc", "text")
     return m.unionByName(q).where("text is not null and text <> ''")
 
 
-def fit_model(messages: DataFrame, facts: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` distinct texts, drawn by their hash; names are learned from all distinct texts.
+def fit_model(texts: DataFrame, rows: int, lexicon: DataFrame, sample: int = SAMPLE) -> Model:
+    """Train on at most ``sample`` texts of whole documents, drawn by hash; names are learned from all distinct texts.
 
-    The share of hashes to take follows from the row counts (which Parquet keeps), so every task passes on
-    only its part of about twice the sample however many tasks there are.
+    ``rows`` is an upper estimate of the number of texts; the share of hashes to take follows from it, so every task
+    passes on only its part of about twice the sample however many tasks there are.
     """
-    share = min(1.0, 2 * sample / max(1, 2 * messages.count() + facts.count()))
-    h = F.xxhash64("text")
-    picked = texts_of(messages, facts).select("text").where(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000) + 1).distinct()
-    texts = sorted(r[0] for r in picked.orderBy(h, "text").limit(sample).collect())
+    share = min(1.0, 2 * sample / max(1, rows))
+    h = F.xxhash64("doc")
+    picked = texts.select("doc", "text").where(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000) + 1).distinct()
+    got = sorted((r[0], r[1]) for r in picked.orderBy(h, "doc", F.xxhash64("text"), "text").limit(sample).collect())
     pairs = [(r[0], (r[1] or "").strip().lower()) for r in lexicon.select("name", "name_kind").collect()]
-    return train(texts, pairs, corpus_names(texts_of(messages, facts).select("text").distinct(), *directory(pairs)))
+    return train([t for _, t in got], pairs, corpus_names(texts.select("text").distinct(), *directory(pairs)), [d for d, _ in got])
 
 
 def tagger(model: Model, spark) -> callable:
-    """Column function text -> array of (pii_type, start_pos, end_pos)."""
+    """Column function text -> struct of spans (array of pii_type, start_pos, end_pos) and mentions with their messages.
+
+    Each text is tagged by itself here; equal texts of an Arrow batch once.
+    """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(SPANS)
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"struct<spans: {SPANS}, mentions: {MENTIONS}>")
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            rows = tag(s.tolist(), shared.value)
-            yield pd.Series([[{"pii_type": a, "start_pos": x, "end_pos": y} for a, x, y in r] for r in rows])
+            order = {t: i for i, t in enumerate(dict.fromkeys(s))}
+            spans, mentions = once(list(order), shared.value)
+            at = [order[t] for t in s]
+            yield pd.DataFrame({"spans": [spans[i] for i in at], "mentions": [mentions[i] for i in at]})
+
+    return look
+
+
+def once(texts: list[str], model: Model, incoming: list[dict[int, np.ndarray]] | None = None) -> tuple[list, list]:
+    """Spans and mentions of each text, given the messages that its mentions received (by number)."""
+    b = Batch(texts, model)
+    mentions: list[list] = [[] for _ in texts]
+    if not b.n:
+        return [[] for _ in texts], mentions
+    first: dict[int, int] = {}
+    number = []
+    for d, _ in b.marks:
+        number.append(first.get(d, 0))
+        first[d] = number[-1] + 1
+    received = None
+    if incoming is not None:
+        zero = np.zeros(T)
+        received = np.array([incoming[d].get(n, zero) for (d, _), n in zip(b.marks, number)]).reshape(-1, T)
+    log_belief = beliefs(b, model, None if received is None else sums(received, b.member, b.n))
+    told = sent_messages(b, model, log_belief, received) if len(b.member) else []
+    for (d, mark), n, row in zip(b.marks, number, told):
+        mentions[d].append({"n": n, "mark": mark, "told": row.tolist()})
+    spans = [[{"pii_type": k, "start_pos": x, "end_pos": y} for k, x, y in r] for r in decode(b, log_belief)]
+    return spans, mentions
+
+
+def share_evidence(looked: DataFrame, model: Model) -> DataFrame:
+    """Spans of the texts whose mentions repeat in their document, after all rounds: doc, h, spans.
+
+    ``looked`` has doc, h (hash of the text), text, and mentions. Copies of a text in a document count once.
+    A group of mentions is an aggregate with map-side combine, so a number that a third of all rows
+    repeat costs a row per task; only its mentions then meet the group's sum.
+    """
+    shared = looked.sparkSession.sparkContext.broadcast(model)
+    of = ["doc", "h"]
+    one = looked.where(F.size("mentions") > 0).groupBy(*of).agg(F.first("text").alias("text"), F.first("mentions").alias("mentions"))
+    told = [F.element_at("m.told", k + 1).alias(f"t{k}") for k in range(T)]
+    flat = lambda df: df.select(*of, F.explode("mentions").alias("m")).select(*of, "m.n", "m.mark", *told)
+    first = materialize(flat(one))
+    repeated = materialize(first.groupBy("doc", "mark").agg(F.count("*").alias("c")).where("c > 1").select("doc", "mark"))
+    said = materialize(first.join(repeated, ["doc", "mark"]))
+    linked = materialize(one.select(*of, "text").join(said.select(*of).distinct(), of, "left_semi"))
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [{r["n"]: np.array(r["v"]) for r in rows} for rows in pdf["incoming"]]
+            spans, mentions = once(pdf["text"].tolist(), shared.value, got)
+            yield pd.DataFrame({"doc": pdf["doc"], "h": pdf["h"], "text": pdf["text"], "spans": spans, "mentions": mentions})
 
-    return spans
+    out = linked
+    for _ in range(SKIP_ROUNDS):
+        whole = said.groupBy("doc", "mark").agg(*[F.sum(f"t{k}").alias(f"s{k}") for k in range(T)])
+        # the group's sum less the mention's own part is what the others tell it
+        heard = said.join(whole, ["doc", "mark"]).select(*of, "n", F.array(*[F.col(f"s{k}") - F.col(f"t{k}") for k in range(T)]).alias("v"))
+        heard = heard.groupBy(*of).agg(F.collect_list(F.struct("n", "v")).alias("incoming"))
+        out = materialize(linked.join(heard, of).mapInPandas(again, f"doc string, h long, text string, spans {SPANS}, mentions {MENTIONS}"))
+        said = flat(out).join(repeated, ["doc", "mark"])
+    return out.select(*of, "spans")
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -425,11 +267,20 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(n > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
 
 
-def tagged(messages: DataFrame, facts: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Texts with their ``spans``."""
-    rows = texts_of(spread(messages.select("id", "content", "body")), spread(facts.select("id", "source_quotes")))
-    spans = tagger(fit_model(messages, facts, lexicon, sample), messages.sparkSession)
-    return rows.withColumn("spans", spans("text"))
+def tagged(messages: DataFrame, facts: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, Model]:
+    """All texts, and those in which something was looked at: ``ROW`` columns, text and ``spans``.
+
+    Also gives the model.
+    """
+    texts = texts_of(messages, facts)
+    model = fit_model(texts, 2 * messages.count() + facts.count(), lexicon, sample)
+    kept = [c for c in ("id", "session_id", "content", "body") if c in messages.columns]
+    rows = texts_of(spread(messages.select(*kept)), spread(facts.select("id", "source_quotes"))).withColumn("h", F.xxhash64("text"))
+    looked = rows.withColumn("x", tagger(model, messages.sparkSession)("text")).select(*ROW, "text", "x.spans", "x.mentions")
+    looked = materialize(looked.where(F.size("spans") + F.size("mentions") > 0))
+    linked = share_evidence(looked, model).withColumnRenamed("spans", "agreed")
+    every = looked.join(linked, ["doc", "h"], "left")
+    return rows, every.select(*ROW, F.coalesce("agreed", "spans").alias("spans")), model
 
 
 def found(messages: DataFrame, facts: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -437,12 +288,18 @@ def found(messages: DataFrame, facts: DataFrame, lexicon: DataFrame, sample: int
 
     Versions of a record that hold the same text give the same rows; those collapse.
     """
-    rows = tagged(messages, facts, lexicon, sample).where(F.size("spans") > 0)
+    _, rows, _ = tagged(messages, facts, lexicon, sample)
     rows = rows.select("source_table", F.col("record_id"), "field", "elem", F.explode("spans").alias("s"))
     return rows.select("source_table", "record_id", "field", "elem", "s.pii_type", "s.start_pos").distinct()
 
 
 def redacted(messages: DataFrame, facts: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Every text with typed placeholders: source_table, record_id, field, elem, text."""
-    rows = tagged(messages, facts, lexicon, sample)
-    return rows.select("source_table", "record_id", "field", "elem", redact(F.col("text"), F.col("spans")).alias("text"))
+    """Every text with typed placeholders: source_table, record_id, field, elem, text.
+
+    Texts without findings pass as they are; equal rows stay as many as there were.
+    """
+    texts, rows, _ = tagged(messages, facts, lexicon, sample)
+    hits = rows.where(F.size("spans") > 0).dropDuplicates(["doc", "h"]).select("doc", "h", "spans")
+    out = texts.join(hits, ["doc", "h"], "left")
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("spans")))
+    return out.select("source_table", "record_id", "field", "elem", clean.alias("text"))

@@ -55,12 +55,9 @@ PLACES = (
     re.compile(rf"\b\d+(?: ?bis| ?ter| ?[a-z])?,? (?:{'|'.join(FR_STREET)})\b\.? (?:de la |de l['’]|des |du |de |d['’]|l['’])?(?:{_CAP})(?: [A-ZÀ-Ý]\w*)*", re.I),
 )
 STREETS = frozenset({*EN_STREET, *ES_STREET, *FR_STREET}) - {"m", "st", "way", "place", "court"}
-#: Words that may stand before a person, for texts without any known name word.
-PERSON_CUES = frozenset(TITLES) - {"m", "don"} | frozenset("name contact holder heiße heisse llamo appelle regards best gruß gruss saludos cordialement".split())
 EN_STREET_SET = frozenset(EN_STREET)
 DE_END = tuple(DE_STREET)
 DIGIT_WORD_SET = frozenset(DIGIT_WORDS)
-ACCENTS = {ord(ch): unicodedata.normalize("NFKD", ch)[0] for ch in map(chr, range(0xC0, 0x180)) if unicodedata.decomposition(ch)}
 HAS_DIGIT = re.compile(r"\d").search
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -81,12 +78,21 @@ class Names:
     family: frozenset = frozenset()
     common: frozenset = frozenset()
     known: frozenset = field(init=False)
+    seen: dict = field(init=False, repr=False, default_factory=dict)
 
     def __post_init__(self):
         self.known = self.given | self.family
 
     def kind(self, word: str) -> str:
         """g, f, b (either), u (unknown and capitalised) or '' (no name)."""
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            got = self.seen[word] = self._kind(word)
+        return got
+
+    def _kind(self, word: str) -> str:
         parts = [fold(p) for p in word.split("-")]
         g, f = any(p in self.given for p in parts), any(p in self.family for p in parts)
         if g or f:
@@ -131,7 +137,7 @@ def name_units(text: str, names: Names, taken: list[tuple[int, int]]) -> list[Un
             i += 1
             continue
         run, j, comma = [toks[i]], i + 1, False
-        while j < len(toks) and len(run) < 5:
+        while j < len(toks):
             ns, ne, nw, nk = toks[j]
             gap = text[run[-1][1] : ns]
             if nk == "i" and gap == " ":
@@ -148,17 +154,21 @@ def name_units(text: str, names: Names, taken: list[tuple[int, int]]) -> list[Un
             run.pop()
         # unknown words that merely precede or follow a full name are no part of it
         kinds = [r[3] for r in run]
-        while len(run) > 2 and kinds[0] == "u" and {"g", "b"} & set(kinds[1:]) and {"f", "b", "u"} & set(kinds[2:]):
-            run, kinds = run[1:], kinds[1:]
-        while len(run) > 2 and kinds[-1] == "u" and {"f", "b"} & set(kinds[:-1]) and not comma:
-            run, kinds = run[:-1], kinds[:-1]
+        where = lambda of: [n for n, x in enumerate(kinds) if x in of] or [-1]
+        a, b, given, more, family = 0, len(kinds), where("gb")[-1], where("fbu")[-1], where("fb")[0]
+        while b - a > 2 and kinds[a] == "u" and given > a and more > a + 1:
+            a += 1
+        while b - a > 2 and kinds[b - 1] == "u" and not comma and any(x in "fb" for x in kinds[a : b - 1]) and 0 <= family < b - 1:
+            b -= 1
+        run, kinds = run[a:b], kinds[a:b]
         solid = [x for x in kinds if x != "i"]
         pair = len(solid) >= 2 and (({"g", "b", "u"} & set(solid)) and ({"f", "b", "u"} & set(solid)))
         if pair and not (set(solid) <= {"g"} or set(solid) <= {"f"}):
             out.append(Unit("name", run[0][0], run[-1][1], text[run[0][0] : run[-1][1]], ("".join(kinds), "comma" if comma else "", style(w))))
             i = toks.index(run[-1], i) + 1
         else:
-            i += 1
+            # within a run of given names only, or of family names only, no part is a name either
+            i = j if len(solid) > 1 else i + 1
     return out
 
 
@@ -166,7 +176,6 @@ def units(text: str, names: Names) -> list[Unit]:
     """All units of a text in order of position; none overlap."""
     low = text.lower()
     words = set(LETTERS.findall(low))
-    folded = words if low.isascii() else words | set(LETTERS.findall(low.translate(ACCENTS)))
     out: list[Unit] = []
     taken: list[tuple[int, int]] = []
 
@@ -189,12 +198,10 @@ def units(text: str, names: Names) -> list[Unit]:
             a, b = m.span()
             if text[a] == "(" and ")" not in m[0]:
                 a += 1
-            if sum(map(str.isdigit, m[0])) >= 4:
-                add("number", a, b)
+            add("number", a, b)
     if len(words & DIGIT_WORD_SET) > 1:
         for m in SPOKEN.finditer(text):
             add("number", *m.span(), ("spoken",))
-    if not names.known.isdisjoint(folded) or not PERSON_CUES.isdisjoint(words):
-        out += name_units(text, names, taken)
+    out += name_units(text, names, taken)
     out.sort(key=lambda u: u.start)
     return out

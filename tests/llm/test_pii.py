@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.llm import pii
+from memloom.llm import pii, pii_field
 from memloom.llm.pii_candidates import Names, fold, units
 
 GIVEN = "Orla Bram Ilse Maren Petra Anselm Idris Svea Grace Will Rose May Hope".split()
@@ -68,6 +68,34 @@ def test_skip_links_carry_a_label(model):
     assert kinds == ["id_number", "id_number"]
 
 
+NUMBER = ["My passport number is 47110815.", "We noted 47110815 again.", "We noted 47110815 again."]
+
+
+def test_a_label_flips_only_through_the_skip_edge(model):
+    # the second text shares its document with the first, the third, which is equal, does not
+    kinds = lambda **kw: [[k for k, _, _ in r] for r in pii.tag(NUMBER, model, ["a", "a", "b"], **kw)]
+    assert kinds() == [["id_number"], ["id_number"], []]
+    assert kinds(skips=False) == [["id_number"], [], []]
+
+
+def test_group_messages_equal_all_pairs(model):
+    texts = [t for t, _ in sample(60, seed=3)]
+    b = pii_field.Batch(texts, model, [i % 3 for i in range(len(texts))])
+    at = pii_field.beliefs(b, model)
+    sent = pii_field.messages(b, model, at)
+    got = pii_field.sums(sent, b.group, b.groups)[b.group] - sent
+    for i in range(len(b.member)):
+        want = sum((sent[j] for j in range(len(b.member)) if j != i and b.group[j] == b.group[i]), 0 * sent[i])
+        assert abs(got[i] - want).max() < 1e-6
+
+
+def test_inner_tags_follow_their_first(model):
+    b = pii_field.Batch([t for t, _ in sample(400, seed=6)], model)
+    tags = pii_field.infer(b, model).argmax(axis=1)
+    for i in (tags >= pii_field.T).nonzero()[0]:
+        assert b.gap[i] == pii_field.INSIDE and pii_field.TYPE_OF[tags[i - 1]] == pii_field.TYPE_OF[tags[i]]
+
+
 def test_odd_texts(model):
     long = "word " * 200_000 + "Call Orla Venn at +1 415-555-0101."
     rows = ["", " \n", "@@@ [at] (at) 12", "(415-555-0199)", long, "\u0000￿", "a" * 300_000]
@@ -102,3 +130,17 @@ def test_tables(spark):
     assert clean["f", 2] == "Call [PERSON_NAME] at [PHONE]."
     assert clean["b", 0] == "Write to [EMAIL] please."
     assert pii.found(messages.where("false"), facts.where("false"), lexicon).count() == 0
+
+
+def test_sessions_share_evidence(spark, model):
+    rows = [("m1", "S ", NUMBER[0]), ("m2", "s", NUMBER[1]), ("m2", "s", NUMBER[1]), ("m3", "other", NUMBER[2]), ("m4", None, NUMBER[2])]
+    messages = spark.createDataFrame(rows, "id string, session_id string, content string").withColumn("body", F.lit(None).cast("string"))
+    facts = spark.createDataFrame([("f", NUMBER[1:])], "id string, source_quotes array<string>")
+    texts = pii.texts_of(messages, facts).withColumn("h", F.xxhash64("text")).withColumn("x", pii.tagger(model, spark)("text"))
+    looked = texts.select(*pii.ROW, "text", "x.spans", "x.mentions")
+    alone = {r.record_id: len(r.spans) for r in looked.collect()}
+    assert alone == {"m1": 1, "m2": 0, "m3": 0, "m4": 0, "f": 0}
+    agreed = {r.doc: [s.pii_type for s in r.spans] for r in pii.share_evidence(looked, model).where("size(spans) > 0").collect()}
+    assert agreed == {"s:s": ["id_number"]}
+    both = pii.share_evidence(looked, model).where("doc = 's:s'").collect()
+    assert len(both) == 2 and all(len(r.spans) == 1 for r in both)
