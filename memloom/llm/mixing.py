@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.text import key
 from ..sources.tables import materialize
 
-#: How often the remainder of a budget is cut.
-CUTS = 4
-
 
 def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """Per source: available docs and tokens, target share, max_repeats and the token budget.
@@ -60,13 +57,13 @@ def prefix_sums(rows: DataFrame) -> DataFrame:
     return rows.withColumn("end", F.col("start") + F.col("upto")).drop("start", "upto")
 
 
-def mix(sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
+def mix(sizes: DataFrame, plan: DataFrame, seed: int = 7, refills: int = 0) -> DataFrame:
     """Chosen documents: doc_id, source, tokens, copies (how often each is used).
 
     ``sizes``: doc_id, source (normalized), tokens. Each source is used in whole epochs as often as
-    its budget holds it; the remainder is cut after the last document that fits. What the cut leaves is cut
-    again among the documents that are small enough (``CUTS`` times in all), and one further document closes the
-    gap as well as one can, if taking it is nearer than leaving it.
+    its budget holds it; the remainder is cut after the last document that fits, and one further document closes
+    the gap that the cut leaves as well as one can, if taking it is nearer than leaving it. With ``refills`` the
+    gap is first cut again, so often, among the documents that are small enough for it; this favours short ones.
     """
     per = plan.where("budget > 0").select(
         "source", F.ceil(F.sqrt("docs")).cast("long").alias("slices"),
@@ -80,7 +77,7 @@ def mix(sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     rows = sizes.join(F.broadcast(per.drop("budget", "available", "max_repeats")), "source")
     rows = rows.select("doc_id", "source", "tokens", "epochs", h.alias("h"), F.shiftright(top * F.col("slices"), 31).alias("slice"), F.col("rest").alias("gap"))
     taken = left = None
-    for _ in range(CUTS):
+    for _ in range(1 + refills):
         rows = materialize(prefix_sums(rows))
         fits = F.col("end") <= F.col("gap")
         part = rows.where(fits).select("doc_id", F.lit(1).alias("extra"))
@@ -100,8 +97,9 @@ def sized_sources(documents: DataFrame, **kw) -> DataFrame:
     """Documents that have tokens, with normalized source; a null source is none and has no target."""
     from .tokens import sized
 
-    rows = sized(documents, **kw).where("doc_id is not null and tokens > 0")
-    return materialize(rows.select("doc_id", key(F.col("source")).alias("source"), "tokens"))
+    # written first: a filter on the size would run the tokenizer twice
+    rows = materialize(sized(documents, **kw)).where("doc_id is not null and tokens > 0")
+    return rows.select("doc_id", key(F.col("source")).alias("source"), "tokens")
 
 
 def report(chosen: DataFrame, plan: DataFrame) -> DataFrame:
