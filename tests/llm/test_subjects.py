@@ -29,18 +29,25 @@ def corpus(n, seed):
     return docs
 
 
+def learned(texts, labels, names, langs=None):
+    """A function from texts to their subjects."""
+    sample = subjects.Sample(texts, langs)
+    model = subjects.fit(sample, labels, names)
+    return lambda new: subjects.assign(subjects.encode(new, sample.vocabulary), model)
+
+
 def fitted(labelled=400, noise=0.05, seed=1):
     r = random.Random(seed)
     docs = corpus(1200, seed)
     names = sorted(TERMS["en"])
     labels = [(set([r.choice(names)]) if r.random() < noise else a) if i < labelled else set() for i, (_, a, _) in enumerate(docs)]
-    return subjects.fit([t for t, _, _ in docs], labels, names, [g for _, _, g in docs])
+    return learned([t for t, _, _ in docs], labels, names, [g for _, _, g in docs])
 
 
 def test_held_out_accuracy():
     model = fitted()
     docs = corpus(600, 77)
-    out = subjects.assign([t for t, _, _ in docs], model)
+    out = model([t for t, _, _ in docs])
     want, got = [a for _, a, _ in docs], [set(o) for o in out]
     hit = sum(len(a & b) for a, b in zip(want, got))
     assert hit / sum(map(len, got)) > 0.97 and hit / sum(map(len, want)) > 0.97
@@ -49,19 +56,33 @@ def test_held_out_accuracy():
 
 def test_odd_texts():
     model = fitted(200)
-    out = subjects.assign(["", None, " \n ", "zzz qqq.", "1234 !!", "The court and the judge. " * 20_000], model)
+    out = model(["", None, " \n ", "zzz qqq.", "1234 !!", "The court and the judge. " * 20_000])
     assert out[:5] == [[], [], [], [], []] and out[5] == ["law"]
-    assert subjects.assign([], model) == []
-    none = subjects.fit([], [], ["law"], [])
-    assert subjects.assign(["The court."], none) == [[]]
-    assert subjects.assign(["The court."], subjects.fit(["The court."], [set()], [], ["en"])) == [[]]
+    assert model([]) == []
+    assert learned([], [], ["law"], [])(["The court."]) == [[]]
+    assert learned(["The court."], [set()], [], ["en"])(["The court."]) == [[]]
 
 
 def test_background_is_interpolated():
-    p = subjects.word_model(np.array([2, 2, 3]), None, 5, None)
+    p = subjects.word_model(np.array([0, 0, 2.0, 1, 0]), None)
     assert abs(p.sum() - 1) < 1e-9 and p.min() > 0
-    q = subjects.word_model(np.array([3]), None, 5, p)
+    q = subjects.word_model(np.array([0, 0, 0, 1.0, 0]), p)
     assert abs(q.sum() - 1) < 1e-9 and q[3] > p[3]
+    # pairs that repeat get weight, pairs that occur once do not predict themselves
+    low = np.array([0.1, 0.1])
+    assert (subjects.interpolated(np.array([9.0, 1.0]), np.array([10.0, 10.0]), low) > low * 0.9).all()
+    assert np.allclose(subjects.interpolated(np.array([1.0, 1.0]), np.array([2.0, 2.0]), low), low)
+
+
+def test_background_counts_all_documents(spark):
+    docs = corpus(300, 9)
+    sample = subjects.Sample([t for t, _, _ in docs[:60]], [g for _, _, g in docs[:60]])
+    df = spark.createDataFrame([(i, t, g, "s") for i, (t, _, g) in enumerate(docs)], "doc_id long, text string, lang string, source string").repartition(5)
+    subjects.count_background(subjects.encoded_documents(df, sample.vocabulary), sample)
+    c = subjects.Corpus(subjects.encode([t for t, _, _ in docs], sample.vocabulary))
+    lang = subjects.spoken(c, sample.tongue)[c.sent]
+    for l, t in enumerate(sample.tongues):
+        assert np.allclose(t.words, subjects.word_model(np.bincount(c.w[lang == l], minlength=sample.n).astype(float), None))
 
 
 def test_tables(spark):
