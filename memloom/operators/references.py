@@ -1,16 +1,18 @@
 """References to records that do not exist, found with sparse bitmaps over dictionary-encoded keys.
 
 Keys are numbered per *key range*: the keys of one target table whose first row arrived in the same
-period (and the same hash slice of it) share a range and get dense positions. A bitmap is stored as
-its nonzero 64-bit words, one row each, so empty stretches cost nothing, words merge with ``bit_or``
-before the shuffle, and AND-NOT is an equi-join on (range, word).
+period (and the same hash slice of it) share a range and get dense positions in the order of their
+arrival. So "arrived before an instant" is a comparison of positions: per range and instant one number
+tells how many keys were there, and the parents as of that instant are the parent bitmap below it. A
+bitmap is stored as its nonzero 64-bit words, one row each: empty stretches cost nothing, words merge with
+``bit_or`` before the shuffle, and AND-NOT is an equi-join on (range, word).
 
-Within a range all targets arrive in one period, which gives three cases for a reference bitmap of
-period p against the parents of a range of period q:
+A reference bitmap of period p against the parents of a range of period q:
 
 * p > q: the references AND-NOT the parents; what survives is absent or removed.
 * p < q or never arrived: all of it survives, its targets come later or not at all.
-* p = q: arrival order inside the period is open; these bits survive for the exact check by instant.
+* p = q: the references AND-NOT the parents as of the second of the first reference; what survives is
+  absent, removed or came later (or within that second, which the records' instants settle).
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from ..sources.tables import materialize
 #: Keys per slice of a period that the numbering window aims at.
 SLICE = 50_000
 DAY = 86_400_000_000
+SECOND = 1_000_000
 #: Period of references without an instant of arrival; their bits stay for the exact check.
 UNDATED = -1
 #: A group of references is hot above this part (one in HOT) of all; it is split SALTS ways.
@@ -84,7 +87,8 @@ def number_keys(targets: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ``wanted`` is (target, key, period, ...). Columns out: target, key, seen, gone, purged, born (period of
     first arrival, null if none), slice, pos. The window numbers keys inside one (target, born,
-    slice); slices are as many as keep a group near ``SLICE`` keys whatever the size of the data.
+    slice); slices are as many as keep a group near ``SLICE`` keys whatever the size of the data. Positions follow the
+    arrival of the keys.
     """
     ghosts = wanted.select("target", "key").distinct().select(
         "target", "key", F.lit(None).cast("long").alias("seen"), F.lit(None).cast("boolean").alias("gone"), F.lit(None).cast("long").alias("purged")
@@ -96,7 +100,7 @@ def number_keys(targets: DataFrame, wanted: DataFrame) -> DataFrame:
     sizes = all_keys.groupBy("target", "born").count().agg(F.max("count")).first()[0] or 0
     slices = max(1, -(-sizes // SLICE))
     sliced = all_keys.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int"))
-    w = Window.partitionBy("target", "born", "slice").orderBy("key")
+    w = Window.partitionBy("target", "born", "slice").orderBy("seen", "key")
     return materialize(sliced.withColumn("pos", F.row_number().over(w) - 1))
 
 
@@ -106,6 +110,24 @@ def words(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by, F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
+def arrived(keys: DataFrame, asked: DataFrame, span: list[str]) -> DataFrame:
+    """How many keys of a range had arrived before a second, for the ranges and seconds ``asked`` (span, tick): column ``had``.
+
+    One running sum per range over the arrivals of its keys (about ``SLICE``) and the seconds asked for
+    (at most those of one period).
+    """
+    came = keys.where("born is not null").groupBy(*span, F.expr(f"seen div {SECOND}").alias("tick")).agg(F.count("*").alias("n"))
+    rows = came.unionByName(asked.select(*span, "tick", F.lit(0).cast("long").alias("n"))).groupBy(*span, "tick").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*span).orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*span, "tick", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("had"))
+
+
+def below(limit: Column, word: Column) -> Column:
+    """The bits of a word whose positions lie below a limit."""
+    n = limit - word.cast("long") * 64
+    return F.when(n >= 64, F.lit(-1).cast("long")).when(n <= 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, cast(had - cast(word as bigint) * 64 as int))") - 1)
+
+
 def positions(word: Column, bits: Column) -> Column:
     """Positions of the set bits of a word, as an array of bigint."""
     on = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(bits, i) == 1)
@@ -130,16 +152,21 @@ def orphans(references: Iterable[DataFrame], targets: Iterable[DataFrame]) -> Da
     for t in targets:
         tgts = t if tgts is None else tgts.unionByName(t)
     refs = materialize(refs.withColumn("period", F.coalesce(F.expr(f"at div {DAY}"), F.lit(UNDATED))))
-    wanted = refs.groupBy("ref_field", "target", "key", "period").agg(F.count("*").alias("n"))
+    wanted = refs.groupBy("ref_field", "target", "key", "period").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     keys = number_keys(tgts, wanted)
 
     span = ["target", "born", "slice"]
     coded = wanted.join(keys.select("key", *span, "pos"), ["target", "key"])
-    asked = words(coded, "ref_field", "period", *span)
+    # only references of the range's own period need their second
+    coded = coded.withColumn("tick", F.when(F.col("period") == F.col("born"), F.expr(f"first div {SECOND}")))
+    asked = materialize(words(coded, "ref_field", "period", "tick", *span))
     never = F.col("gone") | F.col("purged").isNotNull()
     parents = words(keys.where(F.col("born").isNotNull() & ~never), *span).withColumnRenamed("bits", "has")
-    left = asked.join(parents, [*span, "word"], "left").withColumn(
-        "bits", F.expr(f"case when period > born and period <> {UNDATED} then bits & ~coalesce(has, 0L) else bits end")
+    had = arrived(keys, asked.where("tick is not null").select(*span, "tick").distinct(), span)
+    left = asked.join(parents, [*span, "word"], "left").join(had, [*span, "tick"], "left")
+    before = F.when(F.col("tick").isNull(), F.col("has")).otherwise(F.col("has").bitwiseAND(below(F.col("had"), F.col("word"))))
+    left = left.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).withColumn(
+        "bits", F.expr(f"case when period >= born and period <> {UNDATED} then bits & ~before else bits end")
     )
     survivors = left.where("bits <> 0").select(
         "ref_field", "period", *span, F.explode(positions(F.col("word"), F.col("bits"))).alias("pos")
