@@ -122,10 +122,10 @@ def arrived(keys: DataFrame, asked: DataFrame, span: list[str]) -> DataFrame:
     return rows.select(*span, "tick", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("had"))
 
 
-def below(limit: Column, word: Column) -> Column:
-    """The bits of a word whose positions lie below a limit."""
-    n = limit - word.cast("long") * 64
-    return F.when(n >= 64, F.lit(-1).cast("long")).when(n <= 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, cast(had - cast(word as bigint) * 64 as int))") - 1)
+def below(limit: str, word: str) -> Column:
+    """The bits of a word whose positions lie below a limit (both columns by name)."""
+    n = f"cast(least(greatest({limit} - cast({word} as bigint) * 64, 0), 64) as int)"
+    return F.expr(f"case when {n} = 64 then -1L else ~shiftleft(-1L, {n}) end")
 
 
 def positions(word: Column, bits: Column) -> Column:
@@ -164,7 +164,7 @@ def orphans(references: Iterable[DataFrame], targets: Iterable[DataFrame]) -> Da
     parents = words(keys.where(F.col("born").isNotNull() & ~never), *span).withColumnRenamed("bits", "has")
     had = arrived(keys, asked.where("tick is not null").select(*span, "tick").distinct(), span)
     left = asked.join(parents, [*span, "word"], "left").join(had, [*span, "tick"], "left")
-    before = F.when(F.col("tick").isNull(), F.col("has")).otherwise(F.col("has").bitwiseAND(below(F.col("had"), F.col("word"))))
+    before = F.when(F.col("tick").isNull(), F.col("has")).otherwise(F.col("has").bitwiseAND(below("had", "word")))
     left = left.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).withColumn(
         "bits", F.expr(f"case when period >= born and period <> {UNDATED} then bits & ~before else bits end")
     )

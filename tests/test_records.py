@@ -181,3 +181,10 @@ def test_orphans_with_a_hot_key_and_many_slices(spark, monkeypatch):
     want = {(str(i), k) for i, k, t in rows if k not in seen or seen[k] > t}
     out = {(x.record_id, x.ref_key) for x in references.orphans([references.history_references(h)], [references.memory_targets(m)]).collect()}
     assert out == want
+
+
+def test_bits_below_a_limit(spark):
+    rows = [(had, word) for had in (0, 1, 5, 62, 63, 64, 65, 127, 128, 1000) for word in (0, 1, 2)]
+    out = spark.createDataFrame(rows, "had long, word int").withColumn("bits", references.below("had", "word")).collect()
+    for r in out:
+        assert r.bits & (2**64 - 1) == sum(1 << i for i in range(64) if r.word * 64 + i < r.had)
