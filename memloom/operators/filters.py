@@ -39,14 +39,14 @@ def _condition(col: Column, op: str, v: Any) -> Column:
     return _yes(F.contains(F.lower(text), F.lit(str(v).lower())))
 
 
-def compile_filter(spec: dict | None, column=F.col, first_only: bool = False, keys: set[str] | None = None) -> Column:
+def compile_filter(spec: dict | None, column=F.col, first_only: bool = False, keys: set[str] | None = None, strict: bool = False) -> Column:
     """Column that is true for the rows a filter matches.
 
     ``spec`` maps fields to a value (equal), a list (one of), "*" (any value) or a dictionary of
     ``OPERATORS``; AND, OR and NOT (or $and, $or, $not) take lists of filters, NOT matches if none does. An
     empty filter matches all rows, an empty OR none. Several operators of one field all hold;
     ``first_only`` keeps just the first of ``OPERATORS``, as the simplest evaluators do. ``keys`` restricts the
-    fields that may be named. Unknown operators and malformed lists raise ValueError when compiling.
+    fields that may be named; ``strict`` refuses a field with range and other operators together. Unknown operators and malformed lists raise ValueError when compiling.
     """
     parts: list[Column] = []
     seen: set[str] = set()
@@ -58,7 +58,7 @@ def compile_filter(spec: dict | None, column=F.col, first_only: bool = False, ke
         if name in ("AND", "OR", "NOT"):
             if not isinstance(value, list) or not all(isinstance(x, dict) for x in value):
                 raise ValueError(f"{name} takes a list of filters")
-            subs = [compile_filter(x, column, first_only, keys) for x in value]
+            subs = [compile_filter(x, column, first_only, keys, strict) for x in value]
             if name == "OR":
                 parts.append(reduce(lambda a, b: a | b, subs, F.lit(False)))
             else:
@@ -72,6 +72,8 @@ def compile_filter(spec: dict | None, column=F.col, first_only: bool = False, ke
             if bad or not value:
                 raise ValueError(f"unknown operators: {sorted(bad)}")
             ops = [op for op in OPERATORS if op in value]
+            if strict and {"gt", "gte", "lt", "lte"} & set(ops) and not set(ops) <= {"gt", "gte", "lt", "lte"}:
+                raise ValueError(f"{name}: range operators do not mix with others")
             parts += [_condition(col, op, value[op]) for op in (ops[:1] if first_only else ops)]
         elif isinstance(value, (list, tuple)):
             parts.append(_condition(col, "in", value))

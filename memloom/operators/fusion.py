@@ -66,3 +66,18 @@ def multiplier(state: Column, modality: Column, winner: Column, history: Column,
         .when(winner & (state == "conflicted"), F.when(sources >= 2, 0.9).otherwise(0.6))
         .otherwise(1.0)
     )
+
+
+def demotion(subject: Column, named: Column, own: Column, factor: float = 0.3) -> Column:
+    """Multiplier of a hit by whose fact it is: less if the question is about somebody else.
+
+    ``named``: canonical names in the question, ``own``: it speaks of the asker. A question with neither demotes nothing.
+    """
+    others = F.size(named) > 0
+    wrong = (
+        F.when(subject == "user", others & ~own)
+        .when(subject == "assistant", own)
+        .when(others, ~F.coalesce(F.array_contains(named, subject), F.lit(False)))
+        .otherwise(own)
+    )
+    return F.when(wrong, factor).otherwise(1.0)

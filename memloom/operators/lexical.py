@@ -77,6 +77,23 @@ def bm25(post: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, fl
     return post.join(wanted, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
 
 
+def bm25_by_tenant(post: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75, floor: float = 1e-6) -> DataFrame:
+    """Scores (query, doc, score) where every tenant has a corpus of its own (full-text index flavour).
+
+    ``post``: postings with ``tenant``; ``terms``: (query, tenant, term). Number and length of documents count per tenant and
+    frequencies per (tenant, term), so a big tenant spreads over its terms; only terms that are asked for are counted.
+    """
+    asked = terms.select("tenant", "term").distinct()
+    stats = post.join(terms.select("tenant").distinct(), "tenant", "left_semi").select("tenant", "doc", "doc_len").distinct()
+    stats = stats.groupBy("tenant").agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
+    hits = post.join(asked, ["tenant", "term"], "left_semi")
+    df = hits.groupBy("tenant", "term").agg(F.count("*").alias("df")).join(stats, "tenant")
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(floor))
+    wanted = terms.select("query", "tenant", "term").distinct().join(df, ["tenant", "term"]).select("query", "tenant", "term", idf.alias("w"), "avg_len")
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
+    return hits.join(wanted, ["tenant", "term"]).groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
+
+
 def top_k(scores: DataFrame, k: int, by: str = "query", score: str = "score", tie: str = "doc") -> DataFrame:
     """The k best per group with ``rank``, ties by id (pruned before the shuffle by the group limit)."""
     w = Window.partitionBy(by).orderBy(F.desc(score), F.asc(tie))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import canonical
+from ..functions.lexicon import canonical, overlap, tokens
 
 
 def slot_of(*cols: str) -> list[Column]:
@@ -29,6 +29,47 @@ def settle(facts: DataFrame, slot: list[str], at: str, value: str) -> DataFrame:
     return rows.join(points.withColumn("verdict", verdict), [*slot, at])
 
 
+def overlaps(facts: DataFrame, slot: list[str], value: str, begins: str, ends: str) -> DataFrame:
+    """Verdict of each value of a slot by its validity interval [begins, ends): slot, value, id, verdict, ended.
+
+    Rows with one canonical value are one statement, the earliest (then smallest id) of them. Values whose intervals
+    overlap are ``conflicted``; of the others the one that begins last is ``active`` and the rest ``superseded``,
+    ended by the next beginning. An end that is missing or not after the beginning means one microsecond. Rows without
+    a beginning or value stay out. Overlap with an earlier value is a running maximum of ends and with a later one the
+    next beginning, so no pairs are formed; only distinct values of a slot are put in order.
+    """
+    v = canonical(F.col(value))
+    rows = facts.where(F.col(begins).isNotNull() & (F.coalesce(v, F.lit("")) != "")).select(*slot, v.alias("value"), "id", F.col(begins).alias("a"), F.col(ends).alias("z"))
+    rows = rows.groupBy(*slot, "value").agg(F.min(F.struct("a", "id", "z")).alias("x")).select(*slot, "value", "x.*")
+    rows = rows.withColumn("b", F.when(F.col("z") > F.col("a"), F.col("z")).otherwise(F.col("a") + 1))
+    w = Window.partitionBy(*slot).orderBy("a", "id")
+    before, after = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("a").over(w)
+    rows = rows.withColumn("crossed", F.coalesce(before > F.col("a"), F.lit(False)) | F.coalesce(after < F.col("b"), F.lit(False))).withColumn("next", after)
+    verdict = F.when(F.col("crossed"), "conflicted").when(F.col("next").isNull(), "active").otherwise("superseded")
+    return rows.select(*slot, "value", "id", verdict.alias("verdict"), F.when(verdict == "superseded", F.col("next")).alias("ended"))
+
+
+def project_events(events: DataFrame, facts: DataFrame, visible: DataFrame) -> DataFrame:
+    """Events as text: id, type and ``shown`` (before, then after), with only what may be seen.
+
+    ``events``: (id, type, before array, after array) of fact ids; ``facts``: (fact, content, modality, state); ``visible``: (fact).
+    A fact that is missing, invisible, erased or retracted shows as unavailable, no facts as none. Ids are joined one per row
+    and put back in their order; an event names a handful.
+    """
+    side = lambda c, n: events.select("id", "type", F.lit(n).alias("side"), F.posexplode(c).alias("pos", "fact"))
+    named = side("before", 0).unionByName(side("after", 1))
+    ok = facts.where("state not in ('erased', 'retracted')").join(visible.select("fact").distinct(), "fact", "left_semi")
+    ok = ok.select("fact", F.concat("content", F.lit(" ("), "modality", F.lit("; "), "state", F.lit(")")).alias("text"))
+    rows = named.join(ok, "fact", "left").withColumn("text", F.coalesce("text", F.lit("[unavailable]")))
+    per = rows.groupBy("id").agg(*[
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == n, F.struct("pos", "text")))), lambda x: x["text"]), " | ").alias(c)
+        for n, c in enumerate(("b", "a"))
+    ])
+    none = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("[none]"))
+    shown = F.concat_ws(" ", "type", F.lit("before:"), none("b"), F.lit("after:"), none("a"))
+    return events.join(per, "id", "left").select("id", "type", shown.alias("shown"))
+
+
 def render(f: DataFrame) -> DataFrame:
     """Adds ``shown``: the text of a fact with its date, state and, for old values, what replaced them.
 
@@ -75,7 +116,19 @@ def ambiguous(rows: DataFrame, key: list[str], what: list[str]) -> DataFrame:
 
 
 def match_level(candidate: Column, value: Column, content: Column) -> Column:
-    """How an answer option meets a fact: 1 equal or verbatim (four characters at least), else 0."""
+    """How an answer option meets a fact: 1 equal or verbatim (four characters at least), 4 an option of over three
+    words that shares four fifths of its tokens with the text, else 0."""
     c = canonical(candidate)
     hit = (c != "") & ((canonical(value) == c) | ((F.length(c) >= 4) & F.contains(canonical(content), c)))
-    return F.when(F.coalesce(hit, F.lit(False)), 1).otherwise(0)
+    close = (F.size(F.split(F.trim(candidate), r"\s+")) > 3) & (overlap(tokens(candidate), tokens(content)) >= 0.8)
+    no = F.lit(False)
+    return F.when(F.coalesce(hit, no), 1).when(F.coalesce(close, no), 4).otherwise(0)
+
+
+def options(question: Column) -> Column:
+    """Answer options that a question enumerates: the parts between commas, semicolons and "or" after the last colon or
+    "between", 2 to 14 words short, at most six; none if there are fewer than two."""
+    tail = F.regexp_extract(question, r"(?:(?i:\bbetween\b|\bprefer\b|\bchoose\b)|:)\s*([^:]*)$", 1)
+    parts = F.transform(F.split(tail, r"(?i),|;|\bor\b|\band\b"), lambda p: F.trim(F.regexp_replace(p, r"[?.!\s]+$", "")))
+    parts = F.slice(F.filter(F.array_distinct(parts), lambda p: (F.length(p) >= 2) & (F.size(F.split(p, r"\s+")) <= 14)), 1, 6)
+    return F.when(F.size(parts) >= 2, parts).otherwise(F.array().cast("array<string>"))

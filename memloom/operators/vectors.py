@@ -24,6 +24,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size).otherwise(-1.0)
 
 
+def unit(v: Column) -> Column:
+    """The vector at length one (as it is if its length is zero)."""
+    n = F.sqrt(dot(v, v))
+    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+
+
 # How a distance of each metric becomes a score in which more is nearer.
 SCORES = {
     "cosine": lambda d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d)),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, oracle_records, payload, records, retrieval, state
+from . import evidence, memory, oracle_records, payload, records, retrieval, state
 
-QUERIES = records.QUERIES | payload.QUERIES | retrieval.QUERIES | state.QUERIES | evidence.QUERIES
-ORACLES = oracle_records.SQL | payload.SQL | retrieval.SQL | state.SQL | evidence.SQL
+QUERIES = records.QUERIES | payload.QUERIES | retrieval.QUERIES | state.QUERIES | evidence.QUERIES | memory.QUERIES
+ORACLES = oracle_records.SQL | payload.SQL | retrieval.SQL | state.SQL | evidence.SQL | memory.SQL
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from ..functions.lexicon import STOP_WORDS, SUFFIXES
+# The search tokens' stop words and suffix rules (suffix, least length, letters to cut, replacement), stated
+# here on their own so that the statements do not depend on what they check.
+STOP_WORDS = (
+    "a about above after again against all am an and any are as at be because been before being below between both but by "
+    "can cannot could did do does doing down during each few for from further get got had has have having he her here hers "
+    "herself him himself his how i if in into is it its itself just me might more most must my myself no nor not of off on "
+    "once only or other ought our ours ourselves out over own same shall she should so some such than that the their theirs "
+    "them themselves then there these they this those through to too under until up very was we were what when where which "
+    "while who whom why will with would you your yours yourself yourselves"
+).split()
+SUFFIXES = (
+    ("ies", 5, 3, "i"), ("sses", 4, 2, ""), ("ness", 4, 4, ""), ("ment", 6, 4, ""), ("ation", 7, 5, "e"), ("ting", 6, 3, ""),
+    ("ing", 6, 3, ""), ("ed", 5, 2, ""), ("ly", 5, 2, ""), ("er", 5, 2, ""), ("est", 5, 3, ""),
+)
 
 
 def stem_sql(w: str) -> str:

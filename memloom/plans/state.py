@@ -199,31 +199,39 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Events per hour and type, by the streaming engine."""
-    e = stream.timed(stream.source(spark, d, "events"), late="40 days")
+    """Events per hour and type, by the streaming engine: the hours that the watermark has closed."""
+    e = stream.timed(stream.source(spark, d, "events"))
     aggs = [F.count("*").alias("n"), F.sum((F.col("value") * 100).cast("decimal(20,0)")).alias("cents")]
-    out = stream.run(stream.windowed(e, "ts", ["event_type"], aggs, "1 hour"), "complete")
+    out = stream.run(stream.windowed(e, "ts", ["event_type"], aggs, "1 hour"))
     return out.select(F.unix_micros("start").alias("start"), "event_type", "n", F.col("cents").cast("long").alias("cents"))
 
 
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    """Events in windows of six hours that begin every two."""
-    e = stream.timed(stream.source(spark, d, "events"), late="40 days")
-    out = stream.run(stream.windowed(e, "ts", ["event_type"], [F.count("*").alias("n")], "6 hours", "2 hours"), "complete")
+    """Events in windows of six hours that begin every two, closed ones."""
+    e = stream.timed(stream.source(spark, d, "events"))
+    out = stream.run(stream.windowed(e, "ts", ["event_type"], [F.count("*").alias("n")], "6 hours", "2 hours"))
     return out.select(F.unix_micros("start").alias("start"), "event_type", "n")
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Visits of users: events less than three hours apart."""
-    e = stream.timed(stream.source(spark, d, "events"), late="40 days")
-    out = stream.run(stream.sessions(e, "ts", ["user_id"], [F.count("*").alias("n")], "3 hours"), "complete")
+    """Visits of users: events less than three hours apart, closed ones."""
+    e = stream.timed(stream.source(spark, d, "events"))
+    out = stream.run(stream.sessions(e, "ts", ["user_id"], [F.count("*").alias("n")], "3 hours"))
     return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n")
 
 
 def stream_slot_updates(spark: SparkSession, d: str) -> DataFrame:
     """Outcome of each event for its slot, with state per slot."""
     e = stream.source(spark, d, "events").select(*SLOT, F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "value")
-    return stream.run(stream.slot_updates(e, SLOT)).select("seq", *SLOT, "outcome")
+    return stream.slot_updates(e, SLOT).select("seq", *SLOT, "outcome")
+
+
+def stream_session_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Session time that holds at each stored message: that of its header or of the last one before it in the session."""
+    m = stream.source(spark, d, "messages").where("session_id is not null and id is not null and ordinal is not null")
+    header = F.nullif(F.regexp_extract("content", r"\[Session time: *([^\]]+)\]", 1), F.lit(""))
+    m = m.select("session_id", "ordinal", "id", F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp_ntz")).alias("at"), header.alias("anchor"))
+    return stream.carried(m, ["session_id"], ["ordinal", "at", "id", "anchor"], "anchor").where("anchor is not null").select("session_id", "id", "ordinal", "anchor").distinct()
 
 
 QUERIES = {
@@ -233,7 +241,7 @@ QUERIES = {
         corroboration_count, pattern_cards, arbitration_multipliers, dependency_closure, session_tail, global_ordinals,
         message_ids_sha256, synthetic_timestamps, participants, md5_dedupe, idempotent_receipts, entity_links,
         history_of_memories, history_rows, entity_link_rows, fact_times, extracted_attributes, passages, stream_tumbling, stream_sliding, stream_sessions,
-        stream_slot_updates,
+        stream_slot_updates, stream_session_anchors,
     )
 }
 
@@ -246,6 +254,8 @@ def _canon(c: str) -> str:
     return rf"regexp_replace(trim(lower({c})), '[\s_\-]+', ' ', 'g')"
 
 
+# windows are closed by a watermark one day behind the latest event
+_CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 day FROM events)"
 _SLOT = f"PARTITION BY user_id, {_canon('subject')}, {_canon('predicate')}, {_canon('scope')}"
 
 SQL = {
@@ -278,11 +288,14 @@ SQL = {
  SELECT id, count(*) FILTER (n = 1) AS accepted, count(*) FILTER (n > 1 AND same) AS replayed, count(*) FILTER (n > 1 AND NOT same) AS conflict FROM r GROUP BY id""",
     "entity_links": rf"WITH {_FACTS}, e AS (SELECT id, kind, regexp_replace(lower(trim(t)), '\s+', ' ', 'g') AS entity FROM (SELECT id, kind, unnest(entities) AS t FROM f)) SELECT entity, min(kind) AS type, CAST(count(DISTINCT id) AS INT) AS facts FROM e WHERE entity <> '' GROUP BY 1",
     "history_of_memories": "SELECT lower(trim(memory_id)) AS memory, count(*) AS changes, array_to_string(list(id ORDER BY id DESC)[1:3], ',') AS newest FROM memory_history GROUP BY 1",
-    "stream_tumbling": "SELECT epoch_us(time_bucket(INTERVAL 1 hour, ts)) AS start, event_type, count(*) AS n, CAST(sum(round(value * 100)) AS BIGINT) AS cents FROM events GROUP BY ALL",
-    "stream_sliding": "SELECT epoch_us(time_bucket(INTERVAL 2 hour, ts) - to_hours(2 * k)) AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL",
-    "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 3 hour THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    "stream_tumbling": f"SELECT epoch_us(w) AS start, event_type, count(*) AS n, CAST(sum(round(value * 100)) AS BIGINT) AS cents FROM (SELECT *, time_bucket(INTERVAL 1 hour, ts) AS w FROM events) WHERE w + INTERVAL 1 hour <= {_CLOSED} GROUP BY ALL",
+    "stream_sliding": f"SELECT epoch_us(w) AS start, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 2 hour, ts) - to_hours(2 * k) AS w FROM events, (SELECT unnest([0, 1, 2]) AS k)) WHERE w + INTERVAL 6 hour <= {_CLOSED} GROUP BY ALL",
+    "stream_sessions": f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 3 hour THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
- SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 3 hour) AS stop, count(*) AS n FROM s GROUP BY user_id, sid""",
+ SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 3 hour) AS stop, count(*) AS n FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 3 hour <= {_CLOSED}""",
+    "stream_session_anchors": r"""WITH m AS (SELECT session_id, ordinal, id, coalesce(ingested_at, TIMESTAMP '1970-01-01') AS came, nullif(regexp_extract(content, '\[Session time: *([^\]]+)\]', 1), '') AS a FROM messages WHERE session_id IS NOT NULL AND id IS NOT NULL AND ordinal IS NOT NULL),
+ f AS (SELECT *, last_value(a IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ordinal, came, id, a NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor FROM m)
+ SELECT DISTINCT session_id, id, ordinal, anchor FROM f WHERE anchor IS NOT NULL""",
     "stream_slot_updates": """WITH s AS (SELECT *, max(ts) OVER w AS top, arg_max(value, ts) OVER w AS held FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
  SELECT event_id AS seq, user_id, event_type, CASE WHEN top IS NULL THEN 'new' WHEN ts > top THEN CASE WHEN value = held THEN 'same' ELSE 'update' END WHEN ts = top THEN CASE WHEN value = held THEN 'same' ELSE 'conflict' END ELSE 'late' END AS outcome FROM s""",
 }

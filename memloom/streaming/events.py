@@ -6,12 +6,8 @@ data that is there (availableNow) with its checkpoint and output in the shared s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.tables import scratch, table
 
@@ -48,37 +44,83 @@ def _name(c: Column) -> str:
     return c._jc.toString().rsplit(" AS ", 1)[-1].strip("`")
 
 
-SLOT_STATE = "ts timestamp, value double, seq long, n long"
+def slot_outcomes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``outcome``: what each observation does to its slot, in arrival order.
+
+    Rows need ``keys``, ts, seq (unique) and value. ``new`` for the first, ``update`` or ``same`` for a later instant, ``same`` or
+    ``conflict`` for an equal one, ``late`` for an older or missing one, which changes nothing. The value that holds is the
+    first to arrive with the latest instant: a running maximum, so no row waits for others in Python.
+    """
+    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("top", F.max(F.when(F.col("ts").isNotNull(), F.struct("ts", (-F.col("seq")).alias("first"), "value"))).over(w))
+    same = F.col("value").eqNullSafe(F.col("top.value"))
+    outcome = (
+        F.when(F.col("ts").isNull(), "late").when(F.col("top").isNull(), "new")
+        .when(F.col("ts") > F.col("top.ts"), F.when(same, "same").otherwise("update"))
+        .when(F.col("ts") == F.col("top.ts"), F.when(same, "same").otherwise("conflict")).otherwise("late")
+    )
+    return rows.withColumn("outcome", outcome).drop("top")
+
+
+def slot_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """``slot_outcomes`` of a stream that is run to the end of its data: keys, seq, outcome.
+
+    The state is a table with one row per slot (latest instant and the value that holds), rewritten per batch under
+    its number, so a repeated batch replaces its own output.
+    """
+
+    def step(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = rows.select(*keys, "ts", "seq", "value")
+        both = rows if state is None else rows.unionByName(state)
+        top = F.max(F.when(F.col("ts").isNotNull(), F.struct("ts", (-F.col("seq")).alias("first"), "value"))).alias("x")
+        held = both.groupBy(*keys).agg(top).where("x is not null")
+        # a held value counts as having arrived before all rows of later batches
+        held = held.select(*keys, "x.ts", F.lit(-1).cast("long").alias("seq"), "x.value")
+        return slot_outcomes(both, keys).where("seq >= 0").select(*keys, "seq", "outcome"), held
 
+    return fold(stream.withColumn("seq", F.col("seq").cast("long")), step)
 
-def slot_updates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """What each observation does to its slot, with state kept per slot.
 
-    Rows need ``keys``, ts, seq (unique, arrival order) and value. Out: keys, seq, outcome (``new``, ``update``, ``same``,
-    ``conflict`` at an equal instant, ``late`` for an older one, which goes to history and changes nothing). State is
-    one row per slot, however long its history; within a batch a slot's rows are applied in arrival order.
+def carried(stream: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows of a stream with ``value`` filled from the last row of the key before that has one, over all batches.
+
+    The state is the last value per key; within a batch rows are filled in ``order``.
     """
-    types = dict(df.dtypes)
-    out = ", ".join(f"{k} {types[k]}" for k in keys) + ", seq long, outcome string"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, value, seq, n = state.get if state.exists else (None, None, -1, 0)
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        done = []
-        for r in rows.itertuples(index=False):
-            if ts is None or r.ts > ts:
-                outcome = "new" if ts is None else "same" if r.value == value else "update"
-                ts, value, seq = r.ts, r.value, r.seq
-            elif r.ts == ts:
-                outcome = "same" if r.value == value else "conflict"
-            else:
-                outcome = "late"
-            n += 1
-            done.append((*key, r.seq, outcome))
-        state.update((ts, value, int(seq), n))
-        yield pd.DataFrame(done, columns=[*keys, "seq", "outcome"])
-
-    return df.groupBy(*keys).applyInPandasWithState(step, out, SLOT_STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def step(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
+        last = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("kept"))
+        if state is not None:
+            out = out.join(state, keys, "left").withColumn(value, F.coalesce(value, "kept")).drop("kept")
+            last = last.join(state.withColumnRenamed("kept", "old"), keys, "full").select(*keys, F.coalesce("kept", "old").alias("kept"))
+        return out, last
+
+    return fold(stream, step)
+
+
+def fold(stream: DataFrame, step) -> DataFrame:
+    """Run a stream to the end of its data; ``step`` takes a batch and the state table and gives output and new state.
+
+    Output and state of a batch are written under its number in the shared scratch folder. A batch reads the
+    state of the one before, so one that is run again after a failure gives the same files.
+    """
+    spark = stream.sparkSession
+    base = scratch(spark)
+    done: dict = {"schema": None, "state": None, "last": None}
+
+    def write(rows: DataFrame, batch: int) -> None:
+        state = spark.read.schema(done["state"]).parquet(f"{base}/state/batch={done['last']}") if done["last"] is not None else None
+        out, kept = step(rows, state)
+        out.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+        kept.write.mode("overwrite").parquet(f"{base}/state/batch={batch}")
+        done.update(schema=out.schema, state=kept.schema, last=batch)
+
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(write).start().awaitTermination()
+    if done["schema"] is None:
+        return step(spark.createDataFrame([], stream.schema), None)[0]
+    return spark.read.schema(done["schema"]).parquet(*[f"{base}/out/*"])
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:

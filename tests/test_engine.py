@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import calendar
 from memloom.functions import lexicon as lx
-from memloom.operators import erasure, extraction, filters, fusion, graph, lexical, packing, state, store, vectors
+from memloom.operators import erasure, extraction, filters, fusion, graph, lexical, lifecycle, packing, passages, state, store, vectors
 from memloom.streaming import events
 
 
@@ -33,7 +33,7 @@ def test_text_keys(spark):
     a, b = "[Session time: 1 May]Raj: I like tea!", "i like TEA"
     k = lambda c: lx.evidence_key(F.lit("User"), F.lit(""), c)
     assert one(spark, k(F.col("t")), t=a) == one(spark, k(F.col("t")), t=b) == "user||iliketea"
-    names = {"Raj: hi": "Raj", "Dr. Who: hi": "Dr. Who", "Ingredients: salt": None, "Please: go": None, "My note: x": None, "no colon": None, "A sentence. Then: x": None}
+    names = {"Raj: hi": "Raj", "Dr. Who: hi": "Dr. Who", "Instructions: salt": None, "Please: go": None, "My note: x": None, "no colon": None, "A sentence. Then: x": None}
     for text, want in names.items():
         assert one(spark, lx.speaker_of(F.col("t")), t=text) == want, text
     assert round(one(spark, lx.sigmoid_score(F.lit(5.0), F.lit(3)), t=""), 6) == 0.5
@@ -184,20 +184,25 @@ def test_extraction(spark):
     m = spark.createDataFrame(
         [
             ("1", "user", "[Session time: 8 May 2023] Hi. I now live in Portland, not Seattle anymore. My manager is Ann!"),
-            ("2", "assistant", "I live in Rome."), ("3", "assistant", "Raj: I really enjoy chess."), ("4", "user", "Forget my access code. My title is Analyst next quarter, maybe."),
-            ("5", "user", None), ("6", None, "I live in Oslo."), ("7", "user", "He said I live in Bonn."),
+            ("2", "assistant", "I live in Rome."), ("3", "assistant", "Raj: I enjoy chess."), ("4", "user", "Forget my access code. I work as an analyst, maybe."),
+            ("5", "user", None), ("6", None, "I live in Oslo."), ("7", "user", "Do not forget that I live in Bonn."),
         ],
         "id string, role string, content string",
     )
     out = {(r.source_id, r.subject, r.predicate, r.value, r.modality) for r in extraction.extract(m).collect()}
     assert out == {
-        ("1", "user", "current_city", "Portland", "confirmed"), ("1", "user", "manager", "Ann", "confirmed"),
-        ("3", "Raj", "hobby", "chess", "confirmed"), ("4", "user", "job_title", "Analyst next quarter", "tentative"),
-        ("7", "user", "current_city", "Bonn", "confirmed"),
+        ("1", "user", "current city", "Portland", "confirmed"), ("1", "user", "manager", "Ann", "confirmed"),
+        ("3", "Raj", "hobby", "chess", "confirmed"), ("4", "user", "job title", "analyst", "tentative"),
     }
+    rules = ((None, r"(\w+) := (\w+)"),)
+    assert one(spark, extraction.attributes(F.col("t"), rules), t="x := y") == ("x", "y")
     text = "One. Two!  Three\n" + "x" * 2000
     s = extraction.sentences(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, t string"), "id", "t").collect()
     assert all(text[r.start :].startswith(r.quote) for r in s) and "".join(r.quote for r in s) == "One.Two!Three" + "x" * 2000
+    # a long sentence is cut at its last space after half the length
+    long = "word " * 400 + "end"
+    parts = extraction.pieces(spark.createDataFrame([(1, long)], "id int, t string"), "id", "t").orderBy("start").collect()
+    assert "".join(r.piece for r in parts) == long and [len(r.piece) for r in parts] == [900, 900, 203]
     kinds = {"Please forget my code.": "forget", "Remember again: my code is X.": "restore", "She said forget it.": "blocked", "Don't forget milk.": "blocked", "I ate.": "none"}
     for t, k in kinds.items():
         assert one(spark, extraction.intent_of(F.col("t")), t=t) == k, t
@@ -226,10 +231,11 @@ def test_streams_equal_batches(spark, tmp_path):
     src = events.source(spark, str(tmp_path), "t")
     n = [F.count("*").alias("n")]
     for make in (lambda d: events.windowed(d, "ts", ["k"], n, "1 hour"), lambda d: events.windowed(d, "ts", ["k"], n, "2 hours", "1 hour"), lambda d: events.sessions(d, "ts", ["k"], n, "20 minutes")):
-        a = events.run(make(events.timed(src)), "complete")
-        b = make(events.timed(df))
+        a = events.run(make(events.timed(src, late="1 hour")))
+        # what the watermark, an hour behind the latest event, has closed
+        b = make(events.timed(df)).where(F.col("stop") <= F.lit("2024-01-01 08:59:00").cast("timestamp"))
         assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.count() > 0
-    slots = events.run(events.slot_updates(src.withColumn("ts", F.col("ts").cast("timestamp")), ["k"]))
+    slots = events.slot_updates(src.withColumn("ts", F.col("ts").cast("timestamp")), ["k"])
     held, want = {}, {}
     for seq, ts, k, v in rows:
         if k not in held or ts > held[k][0]:
@@ -238,19 +244,34 @@ def test_streams_equal_batches(spark, tmp_path):
         else:
             want[seq] = "late" if ts < held[k][0] else "same" if held[k][1] == v else "conflict"
     assert {r.seq: r.outcome for r in slots.collect()} == want
+    # state goes from batch to batch: two files, one per batch
+    df.where("seq < 40").coalesce(1).write.parquet(f"{tmp_path}/two.parquet")
+    df.where("seq >= 40").coalesce(1).write.mode("append").parquet(f"{tmp_path}/two.parquet")
+    two = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/two.parquet")
+    slots = events.slot_updates(two.withColumn("ts", F.col("ts").cast("timestamp")), ["k"])
+    assert {r.seq: r.outcome for r in slots.collect()} == want
+    sparse = two.withColumn("v", F.when(F.col("value") == 3, F.col("seq")))
+    filled = {r.seq: r.v for r in events.carried(sparse, ["k"], ["seq"], "v").collect()}
+    last = {}
+    for seq, _, k, v in rows:
+        last[k] = seq if v == 3 else last.get(k)
+        assert filled[seq] == last[k]
+    none = src.where("seq < 0").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert events.slot_updates(none, ["k"]).count() == 0
 
 
 def test_intents_and_names(spark):
     from memloom.functions.intent import intent, named
 
     cases = {
-        "Walk me through how my job changed": "trajectory", "What did I ask you to forget?": "operation", "List my hobbies": "list",
+        "Show how my job changed": "trajectory", "What did I ask you to forget?": "operation", "List my hobbies": "list",
         "Where did I use to live? I used to like Oslo": "historical", "What is my city?": "current",
     }
     for q, mode in cases.items():
         assert one(spark, intent(F.col("q")), q=q).mode == mode, q
     i = one(spark, intent(F.col("q")), q="My city as of 2026-01-01, and when?")
-    assert i.as_of == "2026-01-01" and i.temporal
+    assert i.as_of == "2026-01-01" and i.temporal and i.entities == []
+    assert one(spark, intent(F.col("q")), q="When did Ann Lee say that?").entities == ["Ann Lee"]
     assert one(spark, intent(F.lit(None).cast("string")), q="").mode == "current"
     assert one(spark, named(F.col("t")), t="My friend Alice Van lives near Oslo, code ZX-482. I know Alice Van") == ["My", "Alice Van", "Oslo", "ZX-482"][1:]
 
@@ -291,3 +312,68 @@ def test_typed_paths(spark):
     assert graph.typed_paths(seeds, edges, 3, most=2).count() == 2
     fan = spark.createDataFrame([(f"e{i:03}", "Alice", f"n{i}", None, None) for i in range(100)], edges.schema)
     assert graph.typed_paths(seeds, fan, 2).count() == 8
+
+
+def test_passages(spark):
+    text = "I like tea. My code is X-9, my code is X-9! Bye"
+    m = spark.createDataFrame([("m", text), ("e", ""), ("n", None)], "source string, text string")
+    q = spark.createDataFrame([("f", "m", "code is X-9"), ("g", "m", "like tea"), ("h", "m", "absent"), ("i", "m", ""), ("j", "zz", "x"), ("k", "m", None), ("l", "m", ".")], "fact string, source string, quote string")
+    spans = passages.source_spans(q, m)
+    got = {(r.fact, text[r.start : r.stop], r.start) for r in spans.collect()}
+    assert got == {("f", "code is X-9", 15), ("f", "code is X-9", 31), ("g", "like tea", 2), ("l", ".", 10)}
+    parts = passages.passages(m)
+    assert [text[r.start : r.stop] for r in parts.orderBy("start").collect()] == ["I like tea. ", "My code is X-9, my code is X-9! ", "Bye"]
+    seen = spark.createDataFrame([("g",), ("l",)], "fact string")
+    shown = {r.start: (r.facts, r.hidden, r.shown) for r in passages.visibility(parts, spans, seen).collect()}
+    assert shown == {0: (2, 0, True), 12: (1, 1, False), 44: (0, 0, True)}
+    out = passages.redacted(parts, spans.where("fact in ('f', 'g')"), m).collect()
+    assert {(r.start, r.text, r.state) for r in out} == {(0, "I ", "active"), (12, "My  […] , my ", "active")}
+    whole = spark.createDataFrame([("m", 0, 12), ("m", 3, 5), ("m", 8, 20)], "source string, start int, stop int")
+    out = {r.start: (r.fragments, r.text, r.state) for r in passages.redacted(parts, whole, m).collect()}
+    assert out[0] == (0, "", "erased") and out[12][0] == 1
+    assert passages.visibility(passages.passages(m.where("false")), spans.where("false"), seen).count() == 0
+
+
+def test_replays_and_mentions(spark):
+    facts = spark.createDataFrame(
+        [("a", "u", "s", "ZX 482", "the code is ZX-482", 5), ("b", "u", "t", "", "says zx 482 again", 5), ("c", "u", "s", "NEW", "the code is NEW", 5),
+         ("d", "v", "s", "ZX 482", "ZX 482", 5), ("e", "u", "s", "ZX 482", "x", 1), ("f", "u", "s", "zx_482", "x", 9), ("g", None, "s", "ZX 482", None, None)],
+        "id string, tenant string, slot string, value string, content string, arrived long",
+    )
+    marks = spark.createDataFrame([("u", "s", "ZX 482", 3, 8), (None, "s", "ZX 482", 0, None), ("u", "s", "", 0, None)], "tenant string, slot string, v string, made long, lifted long")
+    marks = marks.select("tenant", "slot", lx.value_digest(F.col("v")).alias("value_hash"), F.size(lx.value_words(F.col("v"))).alias("words"), "made", "lifted")
+    assert {(r.id, r.markers) for r in erasure.blocked(facts, marks).collect()} == {("a", 1), ("b", 1)}
+    docs = spark.createDataFrame([(1, "u", "plum cake with cream"), (2, "u", "a cake"), (3, "v", "cake plum"), (4, "u", None)], "doc int, tenant string, text string")
+    phrases = spark.createDataFrame([("p", "u", ["cake", "plum"]), ("q", "u", ["cake"]), ("r", "u", []), ("s", "u", ["fig"])], "phrase string, tenant string, words array<string>")
+    assert {tuple(r) for r in erasure.mentioning(docs, phrases).collect()} == {(1, "p"), (1, "q"), (2, "q")}
+
+
+def test_interval_verdicts(spark):
+    rows = [("s", "Oslo", 0, None, "1"), ("s", "Bergen", 10, None, "2"), ("s", "bergen ", 12, None, "3"), ("t", "A", 0, 20, "4"), ("t", "B", 10, 30, "5"), ("t", "C", 40, 39, "6"), ("u", "A", None, 3, "7"), ("u", "", 1, 3, "8"), ("v", "A", 5, 9, "9"), ("v", "B", 9, 12, "10")]
+    df = spark.createDataFrame(rows, "slot string, v string, a long, z long, id string").withColumn("next", F.lit("clash"))
+    out = {r.id: (r.verdict, r.ended) for r in lifecycle.overlaps(df, ["slot"], "v", "a", "z").collect()}
+    assert out == {"1": ("superseded", 10), "2": ("active", None), "4": ("conflicted", None), "5": ("conflicted", None), "6": ("active", None), "9": ("superseded", 9), "10": ("active", None)}
+
+
+def test_events_options_and_demotion(spark):
+    facts = spark.createDataFrame([("a", "likes tea", "confirmed", "active"), ("b", "old", "confirmed", "erased"), ("c", "hid", "confirmed", "active")], "fact string, content string, modality string, state string")
+    events = spark.createDataFrame([("1", "update", ["b", "a"], ["a"]), ("2", "forget", ["c"], []), ("3", "remember", None, ["zz"])], "id string, type string, before array<string>, after array<string>")
+    seen = spark.createDataFrame([("a",), ("b",)], "fact string")
+    out = {r.id: r.shown for r in lifecycle.project_events(events, facts, seen).collect()}
+    assert out == {
+        "1": "update before: [unavailable] | likes tea (confirmed; active) after: likes tea (confirmed; active)",
+        "2": "forget before: [unavailable] after: [none]", "3": "remember before: [none] after: [unavailable]",
+    }
+    assert one(spark, lifecycle.options(F.col("t")), t="Which would you choose: 60143, or 60148?") == ["60143", "60148"]
+    assert one(spark, lifecycle.options(F.col("t")), t="How are you?") == []
+    level = lambda c, v, t: one(spark, lifecycle.match_level(F.lit(c), F.lit(v), F.col("t")), t=t)
+    assert level("60148", "60148", "") == 1 and level("60143", "60148", "lives at 60148") == 0 and level("60148", "", "lives at 60148") == 1
+    assert level("the red bicycle near the old bridge", "", "a red bicycle stands near that old bridge") == 4
+    d = lambda s, names, own: one(spark, fusion.demotion(F.col("t"), F.array(*map(F.lit, names)).cast("array<string>"), F.lit(own)), t=s)
+    assert (d("user", ["ann"], False), d("user", ["ann"], True), d("ann", ["ann"], True), d("bob", ["ann"], True), d("bob", [], True), d("bob", [], False), d("assistant", [], True)) == (0.3, 1.0, 1.0, 0.3, 0.3, 1.0, 0.3)
+
+
+def test_mixed_range_operators():
+    with pytest.raises(ValueError):
+        filters.compile_filter({"n": {"gte": 1, "ne": 2}}, strict=True)
+    filters.compile_filter({"n": {"gte": 1, "lt": 2}}, strict=True)
