@@ -158,10 +158,12 @@ class Tongue:
         self.words = word_model(words.astype(float), None)
         self.pairs = interpolated(pairs.astype(float), first.astype(float)[self.pv], self.words[self.pw])
 
-    def gains(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gains(self, weight: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Log gains of the model of the weighted sentences: of words and of pairs."""
         t = weight[self.sent]
         words = word_model(np.bincount(self.w, weights=t, minlength=self.n), self.words)
+        if not with_pairs:
+            return np.log(words) - np.log(self.words), None
         pairs = interpolated(np.bincount(self.pair, weights=t, minlength=len(self.codes)), np.bincount(self.v, weights=t, minlength=self.n)[self.pv], words[self.pw])
         return np.log(words) - np.log(self.words), np.log(pairs) - np.log(self.pairs)
 
@@ -223,9 +225,11 @@ def fit_on(sample: Sample, labels: list[set[str]], subjects: list[str], tests: l
         gain = np.zeros((len(c.size), k + 1))
         for l, t in enumerate(tongues):
             for s in range(k + 1):
-                single[l, :, s], pairs[l][:, s] = t.gains(weight[:, s])
                 # words alone guide the first rounds: a pair seen once would only confirm itself
-                table = single[l, t.w, s] if r < ROUNDS - 2 else pairs[l][t.pair, s]
+                single[l, :, s], by_pair = t.gains(weight[:, s], r >= ROUNDS - 2)
+                if by_pair is not None:
+                    pairs[l][:, s] = by_pair
+                table = single[l, t.w, s] if by_pair is None else by_pair[t.pair]
                 gain[:, s] += np.bincount(t.sent, weights=table, minlength=len(gain))
         if r == ROUNDS - 1:
             break
