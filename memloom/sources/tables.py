@@ -50,17 +50,37 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``).
+    """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``); ``clear`` removes it when the program ends.
 
-    Only a session that names no such folder, as in tests, gets a local temporary one.
+    Only a local session that names no such folder, as in tests, gets a temporary one; on a cluster that is an error,
+    since a folder of one machine would be lost with it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="memloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", "file://" + os.path.abspath(base))
         base = spark.conf.get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/memloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/memloom-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clear, spark)
+    _written.append(path)
+    return path
+
+
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch folders of this program. Results that still read them are lost, so call it last."""
+    while _written:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended before: the folder stays for the cluster's own cleaning
+            return
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -54,19 +54,6 @@ def test_later_terms_of_a_query_count(spark, tmp_path):
     assert [r.coverage for r in run("coverage_ratio_all")] == [1.0]
 
 
-def test_names_are_learned_from_all_texts(spark):
-    from memloom.llm import pii
-
-    texts = [f"I met {g} Okonwe {n} times" for n, g in enumerate(("Ann", "Bob", "Cid"))] + [f"Nothing here {i}" for i in range(40)]
-    m = spark.createDataFrame([(str(i), t, None) for i, t in enumerate(texts)], "id string, content string, body string")
-    f = spark.createDataFrame([], "id string, source_quotes array<string>")
-    lexicon = spark.createDataFrame([(n, "given") for n in ("Ann", "Bob", "Cid")], "name string, name_kind string")
-    names = pii.fit_model(m, f, lexicon, sample=2).names  # the draw of two texts cannot hold three partners
-    assert "okonwe" in names.family
-    same = pii.learn_names(texts, *pii.directory([(n, "given") for n in ("Ann", "Bob", "Cid")]))
-    assert names == same and "nothing" in names.common
-
-
 def test_every_fact_meets_every_entity(spark, tmp_path):
     rows = [("a", "Ann likes Oslo", ["Ann"]), ("b", "Joanna saw ann in Li", ["Oslo", ""]), ("b", "no name", ["LI"]), ("c", None, ["Bo"]), ("d", "oslo", None)]
     spark.createDataFrame(rows, "id string, content string, entities array<string>").write.parquet(f"{tmp_path}/facts.parquet")
