@@ -78,7 +78,7 @@ class Names:
     family: frozenset = frozenset()
     common: frozenset = frozenset()
     known: frozenset = field(init=False)
-    seen: dict = field(init=False, repr=False, default_factory=dict)
+    seen: dict = field(init=False, repr=False, compare=False, default_factory=dict)
 
     def __post_init__(self):
         self.known = self.given | self.family

@@ -144,3 +144,14 @@ def test_sessions_share_evidence(spark, model):
     assert agreed == {"s:s": ["id_number"]}
     both = pii.share_evidence(looked, model).where("doc = 's:s'").collect()
     assert len(both) == 2 and all(len(r.spans) == 1 for r in both)
+
+
+def test_names_are_learned_from_all_texts(spark):
+    texts = [f"I met {g} Okonwe {n} times" for n, g in enumerate(("Ann", "Bob", "Cid"))] + [f"Nothing here {i}" for i in range(40)]
+    m = spark.createDataFrame([(str(i), t, None) for i, t in enumerate(texts)], "id string, content string, body string")
+    f = spark.createDataFrame([], "id string, source_quotes array<string>")
+    lexicon = spark.createDataFrame([(n, "given") for n in ("Ann", "Bob", "Cid")], "name string, name_kind string")
+    names = pii.fit_model(pii.texts_of(m, f), 99, lexicon, sample=2).names  # the draw of two texts cannot hold three partners
+    assert "okonwe" in names.family
+    same = pii.learn_names(texts, *pii.directory([(n, "given") for n in ("Ann", "Bob", "Cid")]))
+    assert names == same and "nothing" in names.common
