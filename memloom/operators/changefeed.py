@@ -15,8 +15,8 @@ def changes(history: DataFrame) -> DataFrame:
     """The distinct changes of a history feed, one row each, that have an effect.
 
     Columns: ``entity``, ``ts`` (microseconds), ``n`` (smallest id of the copies), ``op`` (A, U, D),
-    ``state`` (digest of the text with squeezed white space, null for D) and ``replaces`` (whether the
-    change carries a previous text).
+    ``state`` (digest of the text with squeezed white space, null for D), ``replaces`` (whether the
+    change carries a previous text) and ``raw`` (digest of the text as it is).
 
     Copies (same key, action, new value and time) collapse in one aggregate with map-side combine, so
     a change that was delivered a million times costs one row per task. Rows without a key or id, with
@@ -40,7 +40,7 @@ def changes(history: DataFrame) -> DataFrame:
         (~is_blank(F.col("previous_value"))).alias("replaces"),
     )
     first = F.min(F.struct("n", "state", "replaces"))
-    return h.groupBy("entity", "op", "raw", "ts").agg(first.alias("x")).select("entity", "ts", "x.n", "op", "x.state", "x.replaces")
+    return h.groupBy("entity", "op", "raw", "ts").agg(first.alias("x")).select("entity", "ts", "x.n", "op", "x.state", "x.replaces", "raw")
 
 
 def last_changes(feed: DataFrame) -> DataFrame:
@@ -53,20 +53,30 @@ def last_changes(feed: DataFrame) -> DataFrame:
     return feed.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
+def carried(feed: DataFrame) -> DataFrame:
+    """What a later batch of changes needs to know of this feed: a base for ``current_state``.
+
+    Per entity and kind of change all changes of the latest instant, deletes too. So a delete stays known, and a
+    late copy of one of several changes of that instant is still told from a new change.
+    """
+    w = Window.partitionBy("entity", "op").orderBy(F.desc("ts"))
+    return feed.withColumn("rank", F.rank().over(w)).where("rank = 1").select("entity", "ts", "n", "op", "raw")
+
+
 def current_state(feed: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Entities that exist after all changes: ``entity``, ``n`` (the change that set the text), ``ts``.
 
-    ``base`` (``entity``, ``ts``, ``n``) is the state reached earlier; its rows merge in as inserts, so
-    a new batch of changes needs only the old result, not the old feed. (A base knows no deletes:
-    keep tombstones if changes older than the base can still arrive.)
+    ``base`` is what ``carried`` kept of earlier batches; the result is that of all their changes together, in
+    whatever order the batches came.
 
     An insert sets the text always, an update unless the entity is deleted, and a delete holds until a
     later insert. So the latest of each kind decides: the entity lives if nothing deleted it or an
     insert is later than the last delete, and the later of last insert and last update set its text.
     """
     if base is not None:
-        cols = ["entity", "ts", "n", "op"]
-        feed = feed.select(*cols).unionByName(base.select("entity", "ts", "n", F.lit("A").alias("op")))
+        cols = ["entity", "ts", "n", "op", "raw"]
+        both = feed.select(*cols).unionByName(base.select(*cols))
+        feed = both.groupBy("entity", "op", "raw", "ts").agg(F.min("n").alias("n"))
     at = F.struct("ts", "n")
     last = last_changes(feed.select("entity", "ts", "n", "op")).groupBy("entity").agg(
         *[F.max(F.when(F.col("op") == o, at)).alias(o) for o in "AUD"]

@@ -31,6 +31,12 @@ def postings(docs: DataFrame, id_col: str, text: Column, keep: bool = True) -> D
     return materialize(post) if keep else post
 
 
+def upsert_postings(index: DataFrame, docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """The index with the given documents added or replaced; those with a null or empty text leave it."""
+    old = index.join(docs.select(F.col(id_col).alias("doc")).where("doc is not null").distinct(), "doc", "left_anti")
+    return old.unionByName(postings(docs, id_col, text, keep=False))
+
+
 def query_terms(queries: DataFrame, id_col: str, text: Column, most: int | None = None) -> DataFrame:
     """(query, term, qtf) of all terms of each query, or of the first ``most`` distinct ones, with their repeats."""
     rows = queries.select(F.col(id_col).alias("query"), tokens(text).alias("t"))

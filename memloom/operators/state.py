@@ -48,10 +48,20 @@ def forward_fill(df: DataFrame, group: list[str], order: list[str], value: Colum
 
 
 def merge_duplicates(df: DataFrame, key: list[Column], order: Column, ident: str, lists: list[str]) -> DataFrame:
-    """Rows with equal keys as one: smallest-ordered id, count and the union of the list columns, sorted."""
-    keys = [k.alias(f"k{i}") for i, k in enumerate(key)]
-    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
-    return df.groupBy(*keys).agg(F.min_by(ident, order).alias(ident), F.count("*").alias("copies"), *unions)
+    """Rows with equal keys as one: smallest-ordered id, count and the union of the list columns, sorted.
+
+    List elements are reduced to distinct (key, element) rows with map-side combine before they meet, so a key
+    that many rows repeat costs a row per different element; the union itself is the result that is asked for.
+    """
+    names = [f"k{i}" for i in range(len(key))]
+    rows = df.select(*[k.alias(n) for k, n in zip(key, names)], order.alias("_order"), F.col(ident), *lists)
+    out = rows.groupBy(*names).agg(F.min_by(ident, "_order").alias(ident), F.count("*").alias("copies"))
+    same = [F.coalesce(F.col(n).cast("string"), F.lit("\0")).alias(n) for n in names]
+    for c in lists:
+        each = rows.select(*same, F.explode(c).alias("_e")).distinct().groupBy(*names).agg(F.array_sort(F.collect_list("_e")).alias(c))
+        out = out.join(each.select(F.struct(*names).alias("_k"), c), F.struct(*same) == F.col("_k"), "left").drop("_k")
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(dict(df.dtypes)[c])))
+    return out
 
 
 def corroboration(df: DataFrame, key: list[Column], source: str, least: int = 2) -> DataFrame:
@@ -62,7 +72,7 @@ def corroboration(df: DataFrame, key: list[Column], source: str, least: int = 2)
 
 def pattern_cards(df: DataFrame, slot: list[str], value: Column, least: int = 2) -> DataFrame:
     """Slots with several distinct values as one card: ``values`` sorted and joined, ``n_values``."""
-    g = df.where(value.isNotNull() & (value != "")).groupBy(*slot).agg(F.collect_set(value).alias("v"))
+    g = df.where(value.isNotNull() & (value != "")).select(*slot, value.alias("v")).distinct().groupBy(*slot).agg(F.collect_list("v").alias("v"))
     return g.where(F.size("v") >= least).select(*slot, F.array_join(F.array_sort("v"), ", ").alias("values"), F.size("v").alias("n_values"))
 
 

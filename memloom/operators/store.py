@@ -18,6 +18,17 @@ def delete(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return table.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def compare_and_set(held: DataFrame, writes: DataFrame) -> DataFrame:
+    """(id, accepted, conflicts): optimistic writes of one batch against the revisions that a table holds.
+
+    ``held``: (id, held); a key without a row holds 0. ``writes``: (id, expected). A write that expects the revision its key
+    holds is accepted, one if there are several; all others are conflicts and change nothing.
+    """
+    rows = writes.join(held, "id", "left").withColumn("fits", F.coalesce(F.coalesce("held", F.lit(0)) == F.col("expected"), F.lit(False)))
+    per = rows.groupBy("id").agg(F.max(F.col("fits").cast("long")).alias("accepted"), F.count("*").alias("n"))
+    return per.select("id", "accepted", (F.col("n") - F.col("accepted")).alias("conflicts"))
+
+
 def checked_vectors(rows: DataFrame, dim: int) -> DataFrame:
     """Rows whose vector has ``dim`` numbers; any other length stops the job."""
     ok = F.coalesce(F.size("vector") == dim, F.lit(False))

@@ -9,7 +9,7 @@ from ..functions import lexicon as lx
 from ..functions import intent as it
 from ..functions.intent import NO_NAMES, named
 from ..functions.text import instant, key
-from ..operators import erasure, extraction, fusion, graph, lexical, lifecycle, packing, passages, vectors
+from ..operators import erasure, extraction, filters, fusion, graph, lexical, lifecycle, packing, passages, store, vectors
 from ..sources.tables import materialize, table
 from .evidence import _SLOTTED, SLOT, _slotted
 from .retrieval import _KEY, ASK, LEXICAL, SEMANTIC
@@ -186,10 +186,48 @@ def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_ranking(spark, d).join(facts, "doc").select("query", "doc", "score", "key", "cost"), budget=60)
 
 
+def _revisions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "facts").where("id is not null").groupBy("id", "revision").agg(F.max("state").alias("state"))
+
+
+def store_upsert_delete(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of revision 200 with all later rows put in and those that were erased taken out."""
+    rows = _revisions(spark, d)
+    now = store.upsert(rows.where("revision <= 200"), rows.where("revision > 200"))
+    return store.delete(now, now.where("state = 'erased'")).select("id", "revision", "state")
+
+
+def checked_writes(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of all rows as writes that expect the revision before theirs in their fact: one per revision wins."""
+    rows = table(spark, d, "facts").where("id is not null").select("id", "revision", F.coalesce("content", F.lit("")).alias("content"), "ingested_at")
+    held = rows.where("revision <= 200").groupBy("id").agg(F.max("revision").alias("held"))
+    return store.compare_and_set(held, rows.withColumn("expected", F.when(F.col("revision") % 2 == 0, F.col("revision") - 1).otherwise(F.col("revision"))))
+
+
+def identity_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of one user per session, by the identity filter."""
+    m = table(spark, d, "messages")
+    user = m.groupBy("user_id").count().where("user_id is not null").orderBy(F.desc("count"), "user_id").first()
+    scope = filters.identity_scope(user_id=user[0] if user else "none")
+    return m.where(filters.compile_filter(scope)).groupBy("session_id").agg(F.count("*").alias("messages"))
+
+
+def best_entity_type(spark: SparkSession, d: str) -> DataFrame:
+    """Best type of every entity that documents mention, and how many mention it: names before codes before quoted words."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    typed = lambda n, p: F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda e: F.struct(F.lit(n).alias("rank"), e.alias("entity")))
+    found = [typed(n, p) for n, p in enumerate((r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b", r"\b([A-Z]{2,}-?[0-9][A-Z0-9-]*)", r'"([^"\n]{2,60})"'))]
+    rows = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*found))).alias("m")).select("doc_id", "m.rank", F.lower("m.entity").alias("entity"))
+    per = rows.groupBy("entity").agg(F.min("rank").alias("rank"), F.countDistinct("doc_id").alias("documents"))
+    return per.select("entity", F.element_at(F.array(*map(F.lit, TYPES)), F.col("rank") + 1).alias("type"), "documents")
+
+
+TYPES = ("PROPER", "IDENTIFIER", "QUOTED")
+
 QUERIES = {
     f.__name__: f
     for f in (
-        passage_visibility, passage_redaction, interval_conflicts, event_projection, forget_replays, marker_mentions, relation_paths,
+        store_upsert_delete, checked_writes, identity_scoped, best_entity_type, passage_visibility, passage_redaction, interval_conflicts, event_projection, forget_replays, marker_mentions, relation_paths,
         store_revisions, facts_at_revision, fact_time_grounding, candidate_options, semantic_route, search_ranking, search_pipeline,
     )
 }
@@ -278,6 +316,13 @@ SQL = {
  u AS (SELECT query, id, 0 AS depth, b, e FROM h0 UNION ALL SELECT query, id, 1, b, e FROM h1k),
  d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY depth, b NULLS FIRST, e NULLS FIRST) = 1)
  SELECT query, id, depth, b AS begins, e AS ends, row_number() OVER (PARTITION BY query ORDER BY depth, id) AS rank FROM d QUALIFY rank <= 40""",
+    "store_upsert_delete": "WITH r AS (SELECT id, revision, max(state) AS state FROM facts WHERE id IS NOT NULL GROUP BY ALL), n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC) = 1) SELECT id, revision, state FROM n WHERE state IS DISTINCT FROM 'erased'",
+    "checked_writes": """WITH r AS (SELECT id, revision, coalesce(content, '') AS content, ingested_at, CASE WHEN revision % 2 = 0 THEN revision - 1 ELSE revision END AS expected FROM facts WHERE id IS NOT NULL), h AS (SELECT id, max(revision) AS held FROM r WHERE revision <= 200 GROUP BY 1),
+ m AS (SELECT r.*, coalesce(held, 0) = expected AS fits, row_number() OVER (PARTITION BY r.id, coalesce(held, 0) = expected ORDER BY ingested_at, content) AS n FROM r LEFT JOIN h USING (id))
+ SELECT id, count(*) FILTER (fits AND n = 1) AS accepted, count(*) FILTER (NOT (fits AND n = 1)) AS conflicts FROM m GROUP BY id""",
+    "identity_scoped": "WITH u AS (SELECT user_id FROM messages WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1) SELECT session_id, count(*) AS messages FROM messages JOIN u USING (user_id) GROUP BY 1",
+    "best_entity_type": r"""WITH m AS (SELECT doc_id, 1 AS rank, unnest(regexp_extract_all(text, '\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b', 1)) AS e FROM documents UNION ALL SELECT doc_id, 2, unnest(regexp_extract_all(text, '\b([A-Z]{2,}-?[0-9][A-Z0-9-]*)', 1)) FROM documents
+  UNION ALL SELECT doc_id, 3, unnest(regexp_extract_all(text, '"([^"\n]{2,60})"', 1)) FROM documents) SELECT lower(e) AS entity, ['PROPER', 'IDENTIFIER', 'QUOTED'][min(rank)] AS type, count(DISTINCT doc_id) AS documents FROM m GROUP BY 1""",
     "store_revisions": "SELECT user_id, max(revision) AS revision, count(DISTINCT id) AS facts FROM facts WHERE user_id IS NOT NULL GROUP BY 1",
     "facts_at_revision": "SELECT id, revision, state FROM facts WHERE revision <= 200 QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC, ingested_at DESC, state DESC) = 1",
     "fact_time_grounding": f"""WITH {_FACTS}, s AS (SELECT id, time_text, coalesce(array_to_string(source_quotes, chr(10)), '') AS src FROM f), x AS (SELECT *, list_distinct(regexp_extract_all(lower(src), '{TIME}', 1)) AS found,

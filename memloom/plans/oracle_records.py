@@ -64,6 +64,7 @@ UNION SELECT 'facts', b, '' FROM pairs WHERE b NOT IN (SELECT opened_by FROM fv)
 
 SQL = {
     "p2_found": CURRENT,
+    "p2_incremental": CURRENT,
     "p2_current_memories": CURRENT_ROWS,
     "p3_found": ORPHANS + "SELECT f AS ref_field, r AS record_id, k AS ref_key FROM found WHERE reason IS NOT NULL",
     "p3_orphans_per_month": ORPHANS

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.intent import named
+from ..functions.intent import NO_NAMES, named
 from ..operators import erasure, fusion, graph, lexical, packing, vectors
-from ..sources.tables import materialize, table
+from ..sources.tables import materialize, once, table
 from .sqltext import BM25_SQL, KNN_SQL, TOKENS_SQL
 
 #: A row asks a query if its id is divisible by this.
@@ -22,7 +22,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.postings(_docs(spark, d), "doc_id", F.col("text"))
+    return once(spark, d, "postings", lambda: lexical.postings(_docs(spark, d), "doc_id", F.col("text")))
 
 
 def _terms(spark: SparkSession, d: str, most: int | None = lexical.QUERY_TERMS) -> DataFrame:
@@ -39,6 +39,13 @@ def tokens_postings(spark: SparkSession, d: str) -> DataFrame:
     return _postings(spark, d)
 
 
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index of half of the documents after the others, and every third again, were put in."""
+    docs = _docs(spark, d)
+    half = lexical.postings(docs.where("doc_id % 2 = 0"), "doc_id", F.col("text"))
+    return lexical.upsert_postings(half, docs.where("doc_id % 2 = 1 or doc_id % 3 = 0"), "doc_id", F.col("text"))
+
+
 def _topk(spark: SparkSession, d: str, most: int | None) -> DataFrame:
     hits = lexical.top_k(lexical.bm25(_postings(spark, d), _terms(spark, d, most)), 20)
     return hits.select("query", "doc", F.round("score", 6).alias("score"))
@@ -219,13 +226,13 @@ def _two_hops(spark: SparkSession, d: str, every: int) -> DataFrame:
 
 
 def two_hop_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Orders reached over shared parts from every hundredth asking order, as its statement has it."""
-    return _two_hops(spark, d, ASK * 100)
+    """Orders reached over shared parts from every asking order: parts in one hop, their orders in the next."""
+    return _two_hops(spark, d, ASK)
 
 
 def two_hop_expansion_all(spark: SparkSession, d: str) -> DataFrame:
-    """Orders reached over shared parts from every asking order: parts in one hop, their orders in the next."""
-    return _two_hops(spark, d, ASK)
+    """The same under its older name."""
+    return two_hop_expansion(spark, d)
 
 
 def _ranked(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
@@ -255,7 +262,7 @@ def coverage_pack(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokens_postings, bm25_topk, bm25_topk_all, bm25_fts_topk, bm25_sigmoid, bm25_sigmoid_all, knn_cosine_topk, knn_filtered, knn_metric_scores, rrf_fusion,
+        tokens_postings, index_upsert, bm25_topk, bm25_topk_all, bm25_fts_topk, bm25_sigmoid, bm25_sigmoid_all, knn_cosine_topk, knn_filtered, knn_metric_scores, rrf_fusion,
         additive_fusion, rrf_routes, additive_routes, token_overlap_join, estimate_tokens, evidence_key_dedupe, entity_contains_join, entity_contains_all, forget_marker_antijoin,
         redact_spans, two_hop_expansion, two_hop_expansion_all, budget_pack, budget_pack_all, coverage_pack,
     )
@@ -264,8 +271,21 @@ QUERIES = {
 _KEY = r"md5('||' || regexp_replace(lower(regexp_replace(regexp_replace(text, '\[(Session time|Source id):[^\]]*\]', '', 'g'), '^\p{L}[\p{L} .''-]{0,40}:\s*', '')), '[^\p{L}\p{N}]', '', 'g'))"
 _NEAR = "near AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sims QUALIFY rank <= 20)"
 
+_ROUTES_SQL = (
+    BM25_SQL.format(k1=1.2, idf="greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)", qtf="1")
+    + """, lexi AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scores QUALIFY rank <= 180),
+ v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+ sims AS (SELECT a.vec_id AS query, b.vec_id AS doc, list_cosine_similarity(a.x, b.x) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
+ near AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sims WHERE score > 0.15 QUALIFY rank <= 150),
+ nm AS (SELECT DISTINCT query, lower(unnest(list_filter(list_concat(regexp_extract_all(text, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\\b'), regexp_extract_all(text, '[A-Z]{2,}[-0-9][A-Z0-9-]+')), lambda w: length(w) >= 2 AND w NOT IN (""" + ", ".join(f"'{n}'" for n in NO_NAMES) + """)))) AS name
+  FROM (SELECT doc_id AS query, text FROM documents WHERE doc_id % 100 = 0)),
+ hit AS (SELECT name, doc_id AS doc FROM (SELECT DISTINCT name FROM nm) JOIN documents ON contains(lower(text), name)), li AS (SELECT name, count(*) AS linked FROM hit GROUP BY 1),
+ ent AS (SELECT query, doc, count(*) AS matches, max(0.5 / (1 + 0.001 * (linked - 1) * (linked - 1))) AS boost FROM hit JOIN nm USING (name) JOIN li USING (name) GROUP BY ALL)"""
+)
+
 SQL = {
     "tokens_postings": TOKENS_SQL + " SELECT doc, doc_len, term, tf FROM post",
+    "index_upsert": TOKENS_SQL + " SELECT doc, doc_len, term, tf FROM post",
     "bm25_topk": BM25_SQL.format(k1=1.5, idf="ln((n - df + 0.5) / (df + 0.5) + 1)", qtf="qtf")
     + " SELECT query, doc, round(score, 6) AS score FROM scores QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 20",
     "bm25_fts_topk": BM25_SQL.format(k1=1.2, idf="greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)", qtf="1")
@@ -291,6 +311,13 @@ SQL = {
  f AS (SELECT query, bool_or(doc % 2 = 0) AS hk, bool_or(doc % 3 = 0) AS he FROM near GROUP BY query)
  SELECT query, doc, round(least((score + CASE WHEN doc % 2 = 0 THEN 1.0::DOUBLE / (1 + rank) ELSE 0 END + CASE WHEN doc % 3 = 0 THEN 0.25 ELSE 0 END)
   / (1 + CASE WHEN hk THEN 1 ELSE 0 END + CASE WHEN he THEN 0.5 ELSE 0 END), 1.0), 6) AS score FROM near JOIN f USING (query) WHERE score >= 0.1""",
+    "rrf_routes": _ROUTES_SQL + """, u AS (SELECT query, doc, 1.0::DOUBLE / (60 + rank) AS s, 'semantic' AS r FROM near UNION ALL SELECT query, doc, 1.0::DOUBLE / (60 + rank), 'lexical' FROM lexi
+  UNION ALL SELECT query, doc, 0.5::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY matches DESC, doc)), 'entity' FROM ent)
+ SELECT query, doc, round(sum(s), 8) AS score, string_agg(r, '+' ORDER BY r) AS signals FROM u GROUP BY ALL""",
+    "additive_routes": _ROUTES_SQL + """, z AS (SELECT doc_id AS query, len(string_split_regex(trim(text), '\\s+')) AS n FROM documents WHERE doc_id % 100 = 0),
+ k AS (SELECT query, doc, 1 / (1 + exp(-CASE WHEN n <= 3 THEN 0.7 WHEN n <= 6 THEN 0.6 ELSE 0.5 END * (score - CASE WHEN n <= 3 THEN 5.0 WHEN n <= 6 THEN 7.0 WHEN n <= 9 THEN 9.0 WHEN n <= 15 THEN 10.0 ELSE 12.0 END))) AS s FROM lexi JOIN z USING (query))
+ SELECT n.query, n.doc, round(least((n.score + coalesce(k.s, 0) + coalesce(e.boost, 0)) / (1 + CASE WHEN n.query IN (SELECT query FROM k) THEN 1 ELSE 0 END + CASE WHEN n.query IN (SELECT query FROM ent) THEN 0.5 ELSE 0 END), 1.0), 6) AS score
+ FROM near n LEFT JOIN k ON k.query = n.query AND k.doc = n.doc LEFT JOIN ent e ON e.query = n.query AND e.doc = n.doc WHERE n.score >= 0.1""",
     "token_overlap_join": TOKENS_SQL + """, a AS (SELECT doc AS query, term FROM post WHERE doc % 100 = 0), z AS (SELECT query, count(*) AS size FROM a GROUP BY query),
  s AS (SELECT query, doc, count(*) AS shared FROM a JOIN post USING (term) GROUP BY ALL)
  SELECT query, count(*) AS partners, max(shared) AS most_shared FROM s JOIN z USING (query) WHERE shared * 3 > size AND query <> doc GROUP BY query""",
@@ -301,7 +328,7 @@ SQL = {
  c AS (SELECT DISTINCT id, content, ' ' || array_to_string(regexp_extract_all(regexp_replace(trim(lower(content)), '[\s_\-]+', ' ', 'g'), '[\p{L}\p{N}]+'), ' ') || ' ' AS w FROM facts),
  hit AS (SELECT DISTINCT id FROM c JOIN g ON v <> '' AND contains(w, ' ' || v || ' '))
  SELECT DISTINCT id, md5(content) AS content_md5 FROM c WHERE id NOT IN (SELECT id FROM hit)""",
-    "two_hop_expansion": """WITH li AS (SELECT l_orderkey AS doc, l_partkey AS entity FROM lineitem), s AS (SELECT DISTINCT doc AS query, entity FROM li WHERE doc % 10000 = 0),
+    "two_hop_expansion": """WITH li AS (SELECT l_orderkey AS doc, l_partkey AS entity FROM lineitem), s AS (SELECT DISTINCT doc AS query, entity FROM li WHERE doc % 100 = 0),
  h0 AS (SELECT DISTINCT query, doc FROM s JOIN li USING (entity)), e1 AS (SELECT DISTINCT query, entity FROM h0 JOIN li USING (doc) EXCEPT SELECT query, entity FROM s),
  h1 AS (SELECT DISTINCT query, doc FROM e1 JOIN li USING (entity)),
  u AS (SELECT query, doc, min(dep) AS depth FROM (SELECT query, doc, 0 AS dep FROM h0 UNION ALL SELECT query, doc, 1 FROM h1) GROUP BY ALL)

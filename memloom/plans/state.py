@@ -92,12 +92,15 @@ def pattern_cards(spark: SparkSession, d: str) -> DataFrame:
 def arbitration_multipliers(spark: SparkSession, d: str) -> DataFrame:
     """Score multiplier of every single-valued fact inside its slot, for current and for history questions."""
     f = _facts(spark, d).where("cardinality = 'single'")
-    slot = Window.partitionBy("user_id", lx.canonical(F.col("subject")), lx.canonical(F.col("predicate")), lx.canonical(F.col("scope")))
-    win = F.max((F.col("state") == "active") & (F.col("modality") == "confirmed")).over(slot)
-    old = F.max(F.col("state").isin("superseded", "retracted")).over(slot)
-    n = F.size(F.array_distinct("source_ids"))
-    m = lambda mode: fusion.multiplier(F.col("state"), F.col("modality"), F.col("win"), F.col("old"), n, mode)
-    return f.withColumn("win", win).withColumn("old", old).select("id", m("current").alias("current"), m("history").alias("history"))
+    slot = [F.coalesce("user_id", F.lit("\0")).alias("u"), *[F.coalesce(lx.canonical(F.col(c)), F.lit("\0")).alias(f"k_{c}") for c in ("subject", "predicate", "scope")]]
+    f = f.select("id", "state", "modality", F.size(F.array_distinct("source_ids")).alias("n"), *slot)
+    by = ["u", "k_subject", "k_predicate", "k_scope"]
+    # an aggregate per slot and a join, which splits a hot slot where a window would not
+    flags = f.groupBy(*by).agg(
+        F.max((F.col("state") == "active") & (F.col("modality") == "confirmed")).alias("win"), F.max(F.col("state").isin("superseded", "retracted")).alias("old")
+    )
+    m = lambda mode: fusion.multiplier(F.col("state"), F.col("modality"), F.col("win"), F.col("old"), F.col("n"), mode)
+    return f.join(flags, by).select("id", m("current").alias("current"), m("history").alias("history"))
 
 
 def dependency_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -169,8 +172,10 @@ def entity_link_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def history_of_memories(spark: SparkSession, d: str) -> DataFrame:
     """Number of change rows per memory and its newest three ids."""
-    h = table(spark, d, "memory_history").groupBy(key(F.col("memory_id")).alias("memory"))
-    return h.agg(F.count("*").alias("changes"), F.array_join(F.transform(F.slice(F.reverse(F.array_sort(F.collect_list("id"))), 1, 3), lambda x: x.cast("string")), ",").alias("newest"))
+    h = table(spark, d, "memory_history").select(key(F.col("memory_id")).alias("memory"), "id")
+    new = state.latest_per_slot(h, ["memory"], ["id"], 3).groupBy("memory").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list("id"))), lambda x: x.cast("string")), ",").alias("newest"))
+    counts = h.groupBy("memory").agg(F.count("*").alias("changes"))
+    return counts.join(new, counts["memory"].eqNullSafe(new["memory"])).select(counts["memory"], "changes", "newest")
 
 
 def history_rows(spark: SparkSession, d: str) -> DataFrame:

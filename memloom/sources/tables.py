@@ -95,6 +95,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(spark: SparkSession, root: str, name: str, make) -> DataFrame:
+    """The materialized table that ``make`` builds from a data folder, once per session while the files stay as they are.
+
+    For indexes that many queries share; a changed, added or removed file builds it anew.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    stamp = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    at = (spark.sparkContext.applicationId, root, name)
+    got = _built.get(at)
+    if not got or got[0] != stamp:
+        got = _built[at] = (stamp, make())
+    return got[1]
+
+
+_built: dict = {}
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later plan reads."""
     spark = df.sparkSession

@@ -377,3 +377,24 @@ def test_mixed_range_operators():
     with pytest.raises(ValueError):
         filters.compile_filter({"n": {"gte": 1, "ne": 2}}, strict=True)
     filters.compile_filter({"n": {"gte": 1, "lt": 2}}, strict=True)
+
+
+def test_optimistic_writes(spark):
+    held = spark.createDataFrame([("a", 3), ("b", 1)], "id string, held long")
+    writes = spark.createDataFrame([("a", 3), ("a", 3), ("a", 2), ("b", 0), ("c", 0), ("d", None)], "id string, expected long")
+    out = {r.id: (r.accepted, r.conflicts) for r in store.compare_and_set(held, writes).collect()}
+    assert out == {"a": (1, 2), "b": (0, 1), "c": (1, 0), "d": (0, 1)}
+
+
+def test_index_upsert(spark):
+    docs = spark.createDataFrame([(1, "red house"), (2, "blue house"), (3, None)], "id int, t string")
+    index = lexical.postings(docs, "id", F.col("t"))
+    new = spark.createDataFrame([(2, "green garden"), (4, "red"), (1, None), (None, "x")], "id int, t string")
+    got = {(r.doc, r.term) for r in lexical.upsert_postings(index, new, "id", F.col("t")).collect()}
+    assert got == {(2, "green"), (2, "garden"), (4, "red")}
+
+
+def test_long_dependency_chain(spark):
+    needs = spark.createDataFrame([(str(i + 1), str(i)) for i in range(5)] + [("x", "y"), ("y", "x")], "id string, needs string")
+    got = {r.id for r in graph.invisible_closure(spark.createDataFrame([("0",), ("x",)], "id string"), needs).collect()}
+    assert got == {str(i) for i in range(6)} | {"x", "y"}

@@ -98,7 +98,7 @@ def test_state_and_versions_equal_replay(spark, seed):
 
 def test_base_and_batch_merge_like_one_feed(spark):
     rows = [(1, "a", None, "x", "ADD", 1), (2, "b", None, "y", "ADD", 2), (3, "a", "x", "z", "UPDATE", 5), (4, "b", "y", None, "DELETE", 6)]
-    base = changefeed.current_state(changefeed.changes(feed(spark, rows[:2])))
+    base = changefeed.carried(changefeed.changes(feed(spark, rows[:2])))
     merged = changefeed.current_state(changefeed.changes(feed(spark, rows[2:])), base)
     assert {(r.entity, r.n) for r in merged.collect()} == {("a", 3)}
 
