@@ -11,12 +11,13 @@ changes over several tasks; what such an entity carries over a chunk border is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import instant, key
 from ..sources.tables import materialize
 from .changefeed import changes
+from .chunks import border_keys, in_chunks, with_carry
 from .references import positions
 
 ENTITY = ["source", "entity"]
@@ -51,63 +52,26 @@ def fact_feed(facts: DataFrame) -> DataFrame:
     )
 
 
-#: Changes that a chunk aims at.
-CHUNK_ROWS = 500_000
-
-
-def in_chunks(feed: DataFrame) -> DataFrame:
-    """The feed range-sorted by entity and order, with its chunk number, written so that it stays put.
-
-    It is written before the sort too, since a range sort reads its input twice. There are as many chunks
-    as the rows need, so a chunk does not grow with the data.
-    """
-    feed = materialize(feed)
-    least = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(least, -(-feed.count() // CHUNK_ROWS))
-    return materialize(feed.repartitionByRange(n, *ENTITY, *ORDER).withColumn("chunk", F.spark_partition_id()))
-
-
-def border_entities(chunked: DataFrame) -> DataFrame:
-    """Entities with rows in several chunks: at most one per border between chunks."""
-    e = F.struct(*ENTITY)
-    ends = chunked.groupBy("chunk").agg(F.array_distinct(F.array(F.min(e), F.max(e))).alias("e"))
-    e = ends.select("chunk", F.explode("e").alias("e")).select("chunk", "e.*")
-    return e.groupBy(*ENTITY).agg(F.count("*").alias("c")).where("c > 1").select(*ENTITY)
-
-
-def with_carry(rows: DataFrame, border: DataFrame, values: dict[str, Column], merge, ahead: bool = False) -> DataFrame:
-    """Add what earlier (or later) chunks of the row's entity say: ``merge`` over their ``values``, by name.
-
-    ``border`` has one row per chunk border at most and its entities one summary per chunk, so both
-    small sides are bounded by twice the number of chunks and are broadcast.
-    """
-    per = rows.join(F.broadcast(border), ENTITY, "left_semi").groupBy(*ENTITY, "chunk").agg(*[v.alias(k) for k, v in values.items()])
-    w = Window.partitionBy(*ENTITY).orderBy("chunk")
-    w = w.rowsBetween(1, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(*ENTITY, "chunk", *[merge(F.col(k)).over(w).alias(k) for k in values])
-    return rows.join(F.broadcast(carry), [*ENTITY, "chunk"], "left")
-
-
 def applied(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The changes that take effect, numbered per entity, and the entities that cross chunks.
 
     Takes out updates of deleted entities. Adds ``pos`` (0 is kept free for a version before the
     first change) and ``known`` (an insert came before).
     """
-    rows = in_chunks(feed)
-    border = materialize(border_entities(rows))
+    rows = in_chunks(feed, ENTITY, ORDER)
+    border = border_keys(rows, ENTITY)
     w = Window.partitionBy(*ENTITY, "chunk").orderBy(*ORDER)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("op") != "U", F.col("op"))
     past = F.max(F.when(mark.isNotNull(), F.struct(*ORDER, mark.alias("m"))))
-    rows = with_carry(rows, border, {"past": past, "knew": F.max(F.col("op") == "A")}, F.max)
+    rows = with_carry(rows, border, ENTITY, {"past": past, "knew": F.max(F.col("op") == "A")}, F.max)
     last = F.coalesce(F.last(mark, ignorenulls=True).over(before), F.col("past.m"))
     rows = rows.select(
         *ENTITY, *ORDER, "op", "state", "replaces", "chunk", last.alias("last"),
         (F.coalesce(F.max(F.col("op") == "A").over(before), F.lit(False)) | F.coalesce("knew", F.lit(False))).alias("known"),
     )
     rows = rows.where("op <> 'U' or last is null or last = 'A'")
-    rows = with_carry(rows, border, {"offset": F.count("*")}, F.sum)
+    rows = with_carry(rows, border, ENTITY, {"offset": F.count("*")}, F.sum)
     pos = F.row_number().over(w) + F.coalesce("offset", F.lit(0))
     tomb = F.coalesce("state", F.lit(b"deleted"))
     rows = rows.select(*ENTITY, "ref", "op", tomb.alias("state"), "replaces", "known", "chunk", pos.cast("long").alias("pos"))
@@ -152,7 +116,7 @@ def _versions(steps: DataFrame, border: DataFrame) -> DataFrame:
     # runs tile the positions of an entity, so a run ends where the next one starts
     w = Window.partitionBy(*ENTITY, "chunk").orderBy("pos")
     at = F.struct("pos", "ref")
-    marks = with_carry(marks, border, {"far": F.min(at)}, F.min, ahead=True)
+    marks = with_carry(marks, border, ENTITY, {"far": F.min(at)}, F.min, ahead=True)
     closer = F.coalesce(F.lead("ref").over(w), F.col("far.ref"), F.lit(""))
     return marks.select(*ENTITY, F.col("ref").alias("opened_by"), closer.alias("closed_by"), "op").where("op <> 'D'").drop("op")
 

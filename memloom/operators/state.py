@@ -1,7 +1,8 @@
 """Time-aware state of slots: timelines, current and as-of values, conflicts, duplicates, message buffers.
 
-A slot is a tuple of key columns (a subject's property). All operators are one window or one aggregate
-per slot. The ones that only need the newest rows filter by rank, which Spark prunes before the shuffle.
+A slot is a tuple of key columns (a subject's property). Operators that look along the history of a slot run in
+range-sorted chunks (``chunks``), so a slot with a third of all rows spreads over many tasks; the others are one
+aggregate per slot, or filter by rank, which Spark prunes before the shuffle.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import border_keys, in_chunks, with_carry
+
 
 def latest_per_slot(df: DataFrame, slot: list[str], order: list[str], n: int = 1) -> DataFrame:
     """The ``n`` newest rows of each slot with ``age`` 1 for the newest; ``order`` must be unique in a slot."""
@@ -18,8 +21,12 @@ def latest_per_slot(df: DataFrame, slot: list[str], order: list[str], n: int = 1
 
 def timeline(df: DataFrame, slot: list[str], order: list[str], at: str) -> DataFrame:
     """Adds ``valid_to`` (the next observation of the slot) and ``state`` (active or superseded)."""
-    w = Window.partitionBy(*slot).orderBy(*order)
-    out = df.withColumn("valid_to", F.lead(at).over(w))
+    rows = in_chunks(df, slot, order)
+    first = F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(at).alias("next")))
+    rows = with_carry(rows, border_keys(rows, slot), slot, {"_far": first}, F.min, ahead=True)
+    w = Window.partitionBy(*slot, "chunk").orderBy(*order)
+    last = F.lead(F.lit(True)).over(w).isNull()
+    out = rows.withColumn("valid_to", F.when(last, F.col("_far.next")).otherwise(F.lead(at).over(w))).drop("_far", "chunk")
     return out.withColumn("state", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded"))
 
 
@@ -37,14 +44,20 @@ def conflicts(df: DataFrame, slot: list[str], period: Column, value: str) -> Dat
 
 def late_rows(df: DataFrame, group: list[str], arrival: list[str], at: str) -> DataFrame:
     """Rows observed before something that arrived earlier (``newest`` before them in arrival order)."""
-    w = Window.partitionBy(*group).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("newest", F.max(at).over(w)).where(F.col(at) < F.col("newest"))
+    rows = in_chunks(df, group, arrival)
+    rows = with_carry(rows, border_keys(rows, group), group, {"_far": F.max(at)}, F.max)
+    w = Window.partitionBy(*group, "chunk").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("newest", F.greatest(F.max(at).over(w), F.col("_far"))).drop("_far", "chunk")
+    return out.where(F.col(at) < F.col("newest"))
 
 
 def forward_fill(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """The last known ``value`` up to and including each row."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    rows = in_chunks(df.withColumn(name, value), group, order)
+    last = F.max(F.when(F.col(name).isNotNull(), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(name).alias("v"))))
+    rows = with_carry(rows, border_keys(rows, group), group, {"_far": last}, F.max)
+    w = Window.partitionBy(*group, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(w), F.col("_far.v"))).drop("_far", "chunk")
 
 
 def merge_duplicates(df: DataFrame, key: list[Column], order: Column, ident: str, lists: list[str]) -> DataFrame:

@@ -216,12 +216,13 @@ def best_entity_type(spark: SparkSession, d: str) -> DataFrame:
     """Best type of every entity that documents mention, and how many mention it: names before codes before quoted words."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
     typed = lambda n, p: F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda e: F.struct(F.lit(n).alias("rank"), e.alias("entity")))
-    found = [typed(n, p) for n, p in enumerate((r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b", r"\b([A-Z]{2,}-?[0-9][A-Z0-9-]*)", r'"([^"\n]{2,60})"'))]
+    found = [typed(n, p) for n, p in enumerate((rf"{EDGE[0]}([A-Z][a-z]+(?: [A-Z][a-z]+)+){EDGE[1]}", rf"{EDGE[0]}([A-Z]{{2,}}-?[0-9][A-Z0-9-]*)", r'"([^"\n]{2,60})"'))]
     rows = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*found))).alias("m")).select("doc_id", "m.rank", F.lower("m.entity").alias("entity"))
     per = rows.groupBy("entity").agg(F.min("rank").alias("rank"), F.countDistinct("doc_id").alias("documents"))
     return per.select("entity", F.element_at(F.array(*map(F.lit, TYPES)), F.col("rank") + 1).alias("type"), "documents")
 
 
+EDGE = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
 TYPES = ("PROPER", "IDENTIFIER", "QUOTED")
 
 QUERIES = {
@@ -321,8 +322,10 @@ SQL = {
  m AS (SELECT r.*, coalesce(held, 0) = expected AS fits, row_number() OVER (PARTITION BY r.id, coalesce(held, 0) = expected ORDER BY ingested_at, content) AS n FROM r LEFT JOIN h USING (id))
  SELECT id, count(*) FILTER (fits AND n = 1) AS accepted, count(*) FILTER (NOT (fits AND n = 1)) AS conflicts FROM m GROUP BY id""",
     "identity_scoped": "WITH u AS (SELECT user_id FROM messages WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1) SELECT session_id, count(*) AS messages FROM messages JOIN u USING (user_id) GROUP BY 1",
-    "best_entity_type": r"""WITH m AS (SELECT doc_id, 1 AS rank, unnest(regexp_extract_all(text, '\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b', 1)) AS e FROM documents UNION ALL SELECT doc_id, 2, unnest(regexp_extract_all(text, '\b([A-Z]{2,}-?[0-9][A-Z0-9-]*)', 1)) FROM documents
-  UNION ALL SELECT doc_id, 3, unnest(regexp_extract_all(text, '"([^"\n]{2,60})"', 1)) FROM documents) SELECT lower(e) AS entity, ['PROPER', 'IDENTIFIER', 'QUOTED'][min(rank)] AS type, count(DISTINCT doc_id) AS documents FROM m GROUP BY 1""",
+    # letters beyond ASCII become underscores, so that the ASCII word borders of the statement's patterns hold
+    "best_entity_type": r"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{24F}\x{370}-\x{1FFF}]', '_', 'g') AS t FROM documents),
+ m AS (SELECT doc_id, 1 AS rank, unnest(regexp_extract_all(t, '\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b', 1)) AS e FROM d UNION ALL SELECT doc_id, 2, unnest(regexp_extract_all(t, '\b([A-Z]{2,}-?[0-9][A-Z0-9-]*)', 1)) FROM d
+  UNION ALL SELECT doc_id, 3, unnest(regexp_extract_all(text, '"([^"\n]{2,60})"', 1)) FROM d) SELECT lower(e) AS entity, ['PROPER', 'IDENTIFIER', 'QUOTED'][min(rank)] AS type, count(DISTINCT doc_id) AS documents FROM m GROUP BY 1""",
     "store_revisions": "SELECT user_id, max(revision) AS revision, count(DISTINCT id) AS facts FROM facts WHERE user_id IS NOT NULL GROUP BY 1",
     "facts_at_revision": "SELECT id, revision, state FROM facts WHERE revision <= 200 QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC, ingested_at DESC, state DESC) = 1",
     "fact_time_grounding": f"""WITH {_FACTS}, s AS (SELECT id, time_text, coalesce(array_to_string(source_quotes, chr(10)), '') AS src FROM f), x AS (SELECT *, list_distinct(regexp_extract_all(lower(src), '{TIME}', 1)) AS found,

@@ -398,3 +398,25 @@ def test_long_dependency_chain(spark):
     needs = spark.createDataFrame([(str(i + 1), str(i)) for i in range(5)] + [("x", "y"), ("y", "x")], "id string, needs string")
     got = {r.id for r in graph.invisible_closure(spark.createDataFrame([("0",), ("x",)], "id string"), needs).collect()}
     assert got == {str(i) for i in range(6)} | {"x", "y"}
+
+
+def test_chunks_of_a_hot_key(spark):
+    # one key has most rows and crosses many chunks; null is a key, too
+    rows = [("hot" if i % 5 else None if i % 2 else "cold", i, (i * 7) % 100, float(i) if i % 9 == 0 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, seq long, made long, v double").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        line = {r.seq: r.valid_to for r in state.timeline(df, ["k"], ["seq"], "made").collect()}
+        fill = {r.seq: r.x for r in state.forward_fill(df, ["k"], ["seq"], F.col("v"), "x").collect()}
+        late = {r.seq: r.newest for r in state.late_rows(df, ["k"], ["seq"], "made").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    top, last, nxt = {}, {}, {}
+    for k, seq, made, v in rows:
+        last[k] = v if v is not None else last.get(k)
+        assert fill[seq] == last[k]
+        assert late.get(seq) == (top[k] if k in top and made < top[k] else None)
+        top[k] = max(made, top.get(k, made))
+    for k, seq, made, _ in reversed(rows):
+        assert line[seq] == nxt.get(k)
+        nxt[k] = made
