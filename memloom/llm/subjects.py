@@ -396,6 +396,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
                 out += assign(b.iloc[i : i + CHUNK].tolist(), shared.value)
             yield pd.Series(out)
 
+    # else the filter that the explode implies would run the models a second time
+    areas = areas.asNondeterministic()
     rows = encoded.select("doc_id", "lang", "source", areas("ids").alias("areas"))
     return rows.select("doc_id", "lang", "source", F.explode("areas").alias("subject"))
 
