@@ -37,12 +37,17 @@ def tokens_sql(text: str) -> str:
 TOKENS_SQL = f"""WITH tok AS (SELECT doc_id AS doc, {tokens_sql("text")} AS t FROM documents WHERE text IS NOT NULL),
  post AS (SELECT doc, CAST(len(t) AS INT) AS doc_len, term, count(*) AS tf FROM (SELECT doc, t, unnest(t) AS term FROM tok) GROUP BY ALL)"""
 
+#: The cut of a query to its first terms, for statements that take all to leave out.
+FIRST_TERMS = " QUALIFY row_number() OVER (PARTITION BY query ORDER BY first) <= 64"
+
 BM25_SQL = (
     TOKENS_SQL.replace("{", "{{").replace("}", "}}")
     + """, stats AS (SELECT count(*) AS n, avg(doc_len) AS avg_len FROM (SELECT DISTINCT doc, doc_len FROM post)),
  dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
  firsts AS (SELECT doc AS query, term, min(pos) AS first, count(*) AS qtf FROM (SELECT doc, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM tok WHERE doc % 100 = 0) GROUP BY ALL),
- terms AS (SELECT query, term, qtf FROM firsts QUALIFY row_number() OVER (PARTITION BY query ORDER BY first) <= 64),
+ terms AS (SELECT query, term, qtf FROM firsts"""
+    + FIRST_TERMS
+    + """),
  scores AS (SELECT query, doc, round(sum({qtf} * {idf} * tf * ({k1} + 1) / (tf + {k1} * (1 - 0.75 + 0.75 * doc_len / avg_len))), 9) AS score
   FROM post JOIN terms USING (term) JOIN dfs USING (term), stats GROUP BY ALL)"""
 )

@@ -3,6 +3,7 @@
 import math
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from memloom.plans import registry, retrieval
@@ -68,3 +69,17 @@ def test_history_has_every_change(spark, tmp_path):
     spark.createDataFrame(rows, "id long, memory_id string").write.parquet(f"{tmp_path}/memory_history.parquet")
     out = [(r.memory, r.id) for r in registry.QUERIES["history_rows"](spark, str(tmp_path)).collect()]
     assert out == [("m0", 9)] + [("m1", i) for i in range(6, -1, -1)]
+
+
+def test_routes_use_the_whole_text(spark, tmp_path):
+    # 7 and 9 share only terms and a name from beyond the 64th term of the query
+    texts = {100: " ".join(f"w{i}" for i in range(80)) + " Alice", 7: " ".join(f"w{i}" for i in range(64, 80)), 8: "other", 9: "w79 malice", 10: "plum"}
+    spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in texts.items()], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.doc: (r.score, r.signals) for r in retrieval.QUERIES["rrf_routes"](spark, str(tmp_path)).collect()}
+    assert {i: s for i, (_, s) in got.items()} == {100: "entity+lexical+semantic", 7: "lexical", 9: "entity+lexical"}
+    duck = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = {doc: (pytest.approx(score, abs=1e-7), signals) for _, doc, score, signals in duck.execute(registry.ORACLES["rrf_routes"]).fetchall()}
+    assert got == want
